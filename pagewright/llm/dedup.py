@@ -32,7 +32,7 @@ from pagewright.llm.common import cut, mix, pieces, prepare, ragged, text_buffer
 
 DOMAIN_BITS = 20
 WORDS = 3
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 50, 5
 THRESHOLD = 0.5
 SEED = 20240607
 
