@@ -134,3 +134,34 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(sizes) - sizes
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, sizes)
+
+
+class Places:
+    """Where 64-bit keys stand in an array: sorted by a mixed form, with the first place of each leading bit pattern."""
+
+    def __init__(self, keys: np.ndarray):
+        mixed = mix(keys.astype(np.uint64))
+        self.order = np.argsort(mixed).astype(np.int32)
+        self.mixed = mixed[self.order]
+        self.bits = max(1, min(22, int(len(keys)).bit_length()))
+        self.first = np.searchsorted(self.mixed >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among those given, -1 for the others."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.mixed):
+            return out
+        mixed = mix(keys.astype(np.uint64))
+        bucket = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        same = self.mixed[np.minimum(at, len(self.mixed) - 1)] == mixed
+        hit = same & (at < end)
+        out[hit] = self.order[at[hit]]
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        at, end, mixed = at[left] + 1, end[left], mixed[left]
+        while len(left):
+            hit = self.mixed[at] == mixed
+            out[left[hit]] = self.order[at[hit]]
+            more = ~hit & (at + 1 < end)
+            left, at, end, mixed = left[more], at[more] + 1, end[more], mixed[more]
+        return out
