@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import prepare, text_buffers
+from pagewright.llm.common import pieces, prepare, text_buffers
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "IBAN", "SSN")
 GENERATORS = [
@@ -308,7 +308,13 @@ def replace(text: str, spans: list[tuple[int, int, str, float]]) -> str:
 
 
 _MAY = np.zeros(256, np.int8)
-_MAY[[*range(48, 58), 64]] = 1
+_MAY[[*range(48, 58), 64, *range(0xD9, 256)]] = 1
+
+
+def _rows_with(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows that hold a byte which personal data may contain."""
+    seen = np.concatenate([[0], np.cumsum(_MAY[raw], dtype=np.int32)])
+    return np.flatnonzero(seen[off[1:]] > seen[off[:-1]])
 
 
 def _redact(trees: Trees, limits: dict[str, float], with_spans: bool):
@@ -317,8 +323,7 @@ def _redact(trees: Trees, limits: dict[str, float], with_spans: bool):
             column = batch.schema.get_field_index("text")
             raw, off = text_buffers(batch.column(column))
             # Every generator needs an ASCII digit or an at sign, but for digits of other scripts.
-            seen = np.concatenate([[0], np.cumsum(_MAY[raw] | (raw >= 0xD9), dtype=np.int64)])
-            some = np.flatnonzero(seen[off[1:]] > seen[off[:-1]])
+            some = np.concatenate([lo + _rows_with(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in pieces(off)] or [np.zeros(0, np.int64)])
             texts = batch.column(column).to_pylist()
             found = dict(zip(some.tolist(), find([texts[i] for i in some], trees, limits)))
             for i, spans in found.items():
