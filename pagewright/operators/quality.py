@@ -1,0 +1,132 @@
+"""Aggregations and rules: provenance, element facts, audits, golden rules, verdicts, conservation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from pagewright.operators.elements import squash
+
+LOW, VIEWER_LOW = 0.75, 0.70
+
+
+def provenance(elements: DataFrame) -> DataFrame:
+    """(doc_id, fact, name, n): elements by source, by issue, and those of low confidence."""
+    source = elements.groupBy("doc_id", F.lit("source").alias("fact"), F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("name")).agg(F.count("*").alias("n"))
+    issue = elements.select("doc_id", F.explode("issues").alias("name")).where("name <> ''").groupBy("doc_id", F.lit("issue").alias("fact"), "name").agg(F.count("*").alias("n"))
+    low = elements.groupBy("doc_id").agg(F.count_if(F.coalesce("confidence", F.lit(1.0)) < LOW).alias("n")).select("doc_id", F.lit("low_confidence").alias("fact"), F.lit("").alias("name"), "n")
+    return source.unionByName(issue).unionByName(low)
+
+
+def element_summary(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_no, ...): counts by type, mean and least confidence, and how many are low for the viewer."""
+    c = F.coalesce("confidence", F.lit(1.0))
+    return elements.groupBy("doc_id", "page_no").agg(
+        F.count("*").alias("n_elements"),
+        F.count_if(F.col("type").startswith("heading")).alias("n_headings"),
+        F.count_if(F.col("type") == "table").alias("n_tables"),
+        F.count_if(F.col("type") == "text").alias("n_texts"),
+        F.bround(F.avg(c), 3).alias("mean_confidence"),
+        F.bround(F.min(c), 3).alias("least_confidence"),
+        F.count_if(c < VIEWER_LOW).alias("n_low"),
+    )
+
+
+def document_rollup(elements: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, n_elements, low_pages): page facts summed, with the pages that have low elements."""
+    pages = elements.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("confidence", F.lit(1.0)) < LOW).alias("low"))
+    low = F.array_join(F.transform(F.sort_array(F.collect_set(F.when(F.col("low"), F.col("page_no")))), lambda x: x.cast("string")), ",")
+    return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_elements"), low.alias("low_pages"))
+
+
+def verify_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
+    """Checks of rules (doc_pattern, page_no, kind, value) on page facts: (doc_id, page_no, kind, value, ok).
+
+    A pattern beginning ``regex:`` is searched for in the document's name; another must equal it.
+    Kinds: required_text, forbidden_text, min_elements, required_type (type=least count).
+    """
+    docs = elements.select(F.col("doc_id").cast("string").alias("name"), "doc_id").distinct()
+    pattern = F.col("doc_pattern")
+    match = F.when(pattern.startswith("regex:"), F.regexp_like("name", F.substring(pattern, 7, 1 << 20))).otherwise(pattern == F.col("name"))
+    wanted = rules.join(docs, match).select("doc_id", "page_no", "kind", "value")
+    facts = elements.groupBy("doc_id", "page_no").agg(
+        squash(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), " ")).alias("text"),
+        F.count("*").alias("n"),
+        F.collect_list("type").alias("types"),
+    )
+    kind, value, name = F.col("kind"), F.col("value"), F.split_part("value", F.lit("="), F.lit(1))
+    has = F.contains(F.coalesce("text", F.lit("")), squash("value"))
+    ok = (
+        F.when(kind == "required_text", has)
+        .when(kind == "forbidden_text", ~has)
+        .when(kind == "min_elements", F.coalesce("n", F.lit(0)) >= F.try_to_number(value, F.lit("999999")).cast("int"))
+        .when(kind == "required_type", F.coalesce(F.size(F.filter("types", lambda t: t == name)), F.lit(0)) >= F.try_to_number(F.split_part("value", F.lit("="), F.lit(2)), F.lit("999999")).cast("int"))
+    )
+    return wanted.join(facts, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "kind", "value", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def audit(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_no, severity, issue, n): left-over counters, empty elements, low confidence, tables without rows, repeats of 40 characters."""
+    from pagewright.operators.elements import is_counter, numbered
+
+    e = numbered(elements)
+    text = squash(F.concat_ws(" ", "content", "caption"))
+    none = F.lit(None).cast("int")
+    tests = [
+        ("warning", "residual_artifact", F.col("type").isin("text", "footnote") & is_counter(F.col("content"), none, F.col("__i"), F.col("__n"), F.lit(False))),
+        ("hard", "empty_element", text == ""),
+        ("warning", "low_confidence", F.coalesce("confidence", F.lit(1.0)) < LOW),
+        ("hard", "table_without_rows", (F.col("type") == "table") & ~F.coalesce("content", F.lit("")).contains("<tr")),
+    ]
+    found = e.select("doc_id", "page_no", F.explode(F.filter(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(i).alias("issue"))) for s, i, c in tests]), lambda x: x.isNotNull())).alias("f"))
+    counted = found.groupBy("doc_id", "page_no", "f.severity", "f.issue").agg(F.count("*").alias("n"))
+    long_ = elements.select("doc_id", "page_no", F.lower(text).alias("key")).where(F.length("key") >= 40).groupBy("doc_id", "page_no", "key").agg((F.count("*") - 1).alias("extra")).where("extra > 0")
+    repeats = long_.groupBy("doc_id", "page_no").agg(F.sum("extra").alias("n")).select("doc_id", "page_no", F.lit("warning").alias("severity"), F.lit("duplicate_text").alias("issue"), "n")
+    return counted.unionByName(repeats)
+
+
+def missing_pages(expected: DataFrame, structured: DataFrame) -> DataFrame:
+    """(doc_id, page_no, side): pages that only one of the two has."""
+    a, b = expected.select("doc_id", "page_no").distinct(), structured.select("doc_id", "page_no").distinct()
+    return a.join(b, ["doc_id", "page_no"], "left_anti").withColumn("side", F.lit("image_only")).unionByName(b.join(a, ["doc_id", "page_no"], "left_anti").withColumn("side", F.lit("structured_only")))
+
+
+def verdict_summary(verdicts: DataFrame) -> DataFrame:
+    """(group, n, passed, failed, mean_score) of verdicts (group, ok, score)."""
+    return verdicts.groupBy("group").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.bround(F.avg("score"), 3).alias("mean_score"))
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def conserved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, lost, added): words of (doc_id, content) rows that one side has more often than the other; 0 and 0 if only moved."""
+    count = lambda df, name: df.select("doc_id", F.explode(words(F.col("content"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias(name))
+    both = count(before, "a").join(count(after, "b"), ["doc_id", "word"], "full")
+    d = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
+    return both.groupBy("doc_id").agg(F.sum(F.greatest(d, F.lit(0))).alias("lost"), F.sum(F.greatest(-d, F.lit(0))).alias("added"))
+
+
+def support(needles: DataFrame, sources: DataFrame) -> DataFrame:
+    """(needle_id, source_id, n): how often each needle's text stands in each source's, compared as letters and digits; none left out.
+
+    The needles' table must be small enough to be compared with every source (it is broadcast only if Spark finds it small).
+    """
+    from pagewright.functions.text import letters_and_digits, occurrences
+
+    a = needles.select("needle_id", letters_and_digits(F.col("text")).alias("a")).where("a <> ''")
+    b = sources.select("source_id", letters_and_digits(F.col("text")).alias("b"))
+    return b.join(a, F.contains("b", "a")).select("needle_id", "source_id", occurrences(F.col("b"), F.col("a")).alias("n"))
+
+
+def as_of_last(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """The last value that is not null at or before each row."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
+def page_ranges(parts: DataFrame) -> DataFrame:
+    """(doc_id, name, page_start, page_end) of parts (doc_id, idx, name, n_pages) laid one after the other."""
+    total = F.sum("n_pages").over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("page_end", total).select("doc_id", "name", (F.col("page_end") - F.col("n_pages") + 1).alias("page_start"), "page_end")

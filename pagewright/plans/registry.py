@@ -5,6 +5,163 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from pagewright.functions import text as T
+from pagewright.operators import chunks, elements, headings, quality, tables
+from pagewright.plans import oracles as o
+from pagewright.sources import rendered
+
+SPLIT_CHARS = 1000
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' lines as text elements of one page."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    return rows.select("doc_id", F.lit(1).alias("page_no"), "pos", F.lit("text").alias("type"), "content")
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered elements with a source, a confidence and issues by rule."""
+    n = F.length("content")
+    source = F.when(F.col("type") == "table", "native").when(F.col("type") == "toc_entry", "toc").otherwise("model")
+    confidence = F.when(n % 7 == 0, 0.6).when(n % 5 == 0, 0.72).otherwise(0.88)
+    issues = F.when((F.col("type") == "text") & (n % 3 == 0), F.array(F.lit("short"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return elements.mark(rendered.elements(spark, sf_dir), source, confidence, issues)
+
+
+def shown(f: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """f over the rendered elements, these columns of it."""
+    return lambda spark, sf_dir: f(rendered.elements(spark, sf_dir)).select(*(columns or "*"))
+
+
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(chunks.split_text(F.col("text"), SPLIT_CHARS)).alias("k", "piece")).select("doc_id", (F.col("k") + 1).alias("part"), "piece")
+
+
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.md5(T.letters_and_digits(F.col("text"))).alias("key")
+    return read(spark, sf_dir, "documents").select(key, "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit("[가-힣]")).cast("long").alias("hangul"), F.regexp_count(t, F.lit("[A-Za-z]")).cast("long").alias("latin"), T.meaning_length(t).alias("meaning"), (T.preprocess(t) == "").alias("blanked"))
+
+
+def golden_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(o.RULES, "doc_pattern string, page_no int, kind string, value string")
+    return quality.verify_rules(rendered.elements(spark, sf_dir), rules)
+
+
+def support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.support(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), "text"), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id")
+    return quality.verdict_summary(d.select(F.col("source").alias("group"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok"), F.col("quality").alias("score")))
+
+
+def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against themselves without their last line."""
+    d = read(spark, sf_dir, "documents")
+    return quality.conserved(d.select("doc_id", F.col("text").alias("content")), d.select("doc_id", F.regexp_replace("text", "(^|\n)[^\n]*$", "").alias("content")))
+
+
+def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").withColumn("said", F.when(F.col("role") == "user", F.col("text")))
+    return quality.as_of_last(c, ["conv_id"], ["turn"], "said", "asked").select("conv_id", "turn", "asked")
+
+
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as sheets: a page and one more for every three line items."""
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((1 + F.floor(F.count("*") / 3)).alias("n_pages"))
+    parts = read(spark, sf_dir, "orders").join(n, "o_orderkey").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("name"), "n_pages")
+    return quality.page_ranges(parts)
+
+
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = lambda t: read(spark, sf_dir, t).select("doc_id", F.lit(0).alias("page_no"))
+    return quality.missing_pages(page("documents"), page("labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "rendered_elements": rendered.elements,
+    "chunk_toc": shown(chunks.by_section),
+    "chunk_tree": shown(chunks.by_tree),
+    "chunk_page": shown(chunks.by_page),
+    "heading_levels": lambda s, d: headings.prepared(rendered.elements(s, d)).where("level IS NOT NULL").select("doc_id", "page_no", "pos", "level", "title"),
+    "heading_furniture": lambda s, d: headings.drop_furniture(headings.drop_toc_entries(rendered.elements(s, d))).select("doc_id", "page_no", "pos", "type", "content"),
+    "heading_continued": shown(headings.merge_continued, "doc_id", "page_no", "pos", "type", "content"),
+    "split_text": split_documents,
+    "html_to_text": lambda s, d: read(s, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text")),
+    "pii_mask": lambda s, d: read(s, d, "documents").select("doc_id", T.mask_pii(F.col("text"), ("card", "bizno", "phone", "email")).alias("masked")),
+    "compact_text": lambda s, d: read(s, d, "documents").select("doc_id", T.letters_and_digits(F.col("text")).alias("compact")),
+    "text_stats": text_stats,
+    "exact_duplicates": exact_duplicates,
+    "line_dedup": lambda s, d: elements.dedupe_exact(lines(s, d)).select("doc_id", "pos", "content"),
+    "line_contained": lambda s, d: elements.dedupe_contained(lines(s, d)).select("doc_id", "pos", "content"),
+    "page_artifacts": shown(elements.drop_page_artifacts, "doc_id", "page_no", "pos", "type", "content"),
+    "caption_backfill": lambda s, d: elements.backfill_captions(rendered.elements(s, d)).where("type = 'table'").select("doc_id", "page_no", "pos", "caption"),
+    "unit_captions": shown(elements.attach_unit_captions),
+    "trailing_headings": shown(elements.drop_trailing_headings, "doc_id", "page_no", "pos", "type", "content"),
+    "toc_entries": shown(elements.contents_entries),
+    "text_runs": shown(elements.longest_text_run),
+    "provenance_summary": lambda s, d: quality.provenance(marked(s, d)),
+    "element_summary": lambda s, d: quality.element_summary(marked(s, d)),
+    "document_rollup": lambda s, d: quality.document_rollup(marked(s, d)),
+    "golden_rules": golden_rules,
+    "audit_findings": lambda s, d: quality.audit(marked(s, d)),
+    "source_support_count": support,
+    "verdict_summary": verdicts,
+    "multiset_conservation": conservation,
+    "markdown_pages": shown(elements.markdown),
+    "xml_pages": shown(elements.xml),
+    "table_facts": shown(tables.facts),
+    "carry_forward": carried,
+    "page_ranges": page_ranges,
+    "missing_pages": missing,
+}
+ORACLES: dict[str, str] = {
+    "rendered_elements": rendered.SQL,
+    "chunk_toc": o.CHUNK_TOC,
+    "chunk_tree": o.CHUNK_TREE,
+    "chunk_page": o.CHUNK_PAGE,
+    "heading_levels": o.HEADING_LEVELS,
+    "heading_furniture": o.HEADING_FURNITURE,
+    "heading_continued": o.HEADING_CONTINUED,
+    "split_text": o.SPLIT_TEXT,
+    "html_to_text": o.HTML_TEXT,
+    "pii_mask": o.PII_MASK,
+    "compact_text": o.COMPACT,
+    "text_stats": o.TEXT_STATS,
+    "exact_duplicates": o.EXACT_DUPLICATES,
+    "line_dedup": o.LINE_DEDUP,
+    "line_contained": o.LINE_CONTAINED,
+    "page_artifacts": o.PAGE_ARTIFACTS,
+    "caption_backfill": o.CAPTIONS,
+    "unit_captions": o.UNIT_CAPTIONS,
+    "trailing_headings": o.TRAILING,
+    "toc_entries": o.TOC_ENTRIES,
+    "text_runs": o.TEXT_RUNS,
+    "provenance_summary": o.PROVENANCE,
+    "element_summary": o.ELEMENT_SUMMARY,
+    "document_rollup": o.ROLLUP,
+    "golden_rules": o.GOLDEN_RULES,
+    "audit_findings": o.AUDIT,
+    "source_support_count": o.SUPPORT,
+    "verdict_summary": o.VERDICTS,
+    "multiset_conservation": o.CONSERVED,
+    "markdown_pages": o.MARKDOWN,
+    "xml_pages": o.XML,
+    "table_facts": o.TABLE_FACTS,
+    "carry_forward": o.CARRIED,
+    "page_ranges": o.PAGE_RANGES,
+    "missing_pages": o.MISSING,
+}
