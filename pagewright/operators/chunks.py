@@ -102,7 +102,7 @@ def split_text(text: Column, limit: int) -> Column:
         full = (state["buf"] != "") & (F.length(state["buf"]) + F.length(s) + 1 > limit)
         long_ = F.length(s) > limit
         parts = F.when(long_, F.concat(closed(state), cuts)).when(full, closed(state)).otherwise(state["parts"])
-        buf = F.when(long_, F.lit("")).when(full | (state["buf"] == ""), s).otherwise(F.trim(F.concat_ws(" ", state["buf"], s)))
+        buf = F.when(long_, F.lit("")).when(full | (state["buf"] == ""), s).otherwise(F.regexp_replace(F.concat_ws(" ", state["buf"], s), r"(?U)^\s+|\s+$", ""))
         return F.struct(parts.alias("parts"), buf.alias("buf"))
 
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.aggregate(whole, start, step, closed))

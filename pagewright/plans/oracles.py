@@ -94,7 +94,7 @@ packed AS (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE
     CASE WHEN length(s) > 1000 THEN acc || chr(2) || array_to_string(list_transform(range((length(s) - 1) // 1000 + 1), lambda i: substr(s, i * 1000 + 1, 1000)), chr(2)) || chr(2)
          WHEN string_split(acc, chr(2))[-1] = '' THEN acc || s
          WHEN length(string_split(acc, chr(2))[-1]) + length(s) + 1 > 1000 THEN acc || chr(2) || s
-         ELSE array_to_string(list_append(string_split(acc, chr(2))[:-2], trim(string_split(acc, chr(2))[-1] || ' ' || s)), chr(2)) END) END AS p FROM s),
+         ELSE array_to_string(list_append(string_split(acc, chr(2))[:-2], regexp_replace(string_split(acc, chr(2))[-1] || ' ' || s, '^\s+|\s+$', '', 'g')), chr(2)) END) END AS p FROM s),
 parts AS (SELECT doc_id, CASE WHEN p = '' THEN [''] ELSE list_filter(string_split(p, chr(2)), lambda x: x <> '') END AS l FROM packed)
 SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INT) AS part, unnest(l) AS piece FROM parts"""
 
