@@ -116,9 +116,9 @@ def dedupe_exact(elements: DataFrame) -> DataFrame:
 
 
 def dedupe_contained(elements: DataFrame, least: int = 12) -> DataFrame:
-    """Without texts of at least ``least`` characters that another text of the page contains, if it is longer or comes first."""
-    prose = elements.where(F.col("type").isin("text", "footnote")).select(*PAGE, "pos", squash("content").alias("t")).where(F.length("t") >= least)
-    a, b = prose.alias("a"), prose.alias("b")
+    """Without texts of at least ``least`` characters that another element of the page contains, if it is longer or comes first."""
+    long_ = elements.select(*PAGE, "pos", "type", squash("content").alias("t")).where(F.length("t") >= least)
+    a, b = long_.where(F.coalesce("type", F.lit("text")).isin("text", "footnote")).alias("a"), long_.alias("b")
     same_page = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_no") == F.col("b.page_no")) & (F.col("a.pos") != F.col("b.pos"))
     inside = F.contains(F.col("b.t"), F.col("a.t")) & ((F.length("b.t") > F.length("a.t")) | (F.col("b.pos") < F.col("a.pos")))
     gone = a.join(b, same_page & inside, "left_semi").select("a.doc_id", "a.page_no", "a.pos")

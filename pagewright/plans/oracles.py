@@ -170,3 +170,13 @@ CARRIED = """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text
 PAGE_RANGES = """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS idx, o_orderpriority AS name, 1 + CAST(count(*) AS BIGINT) // 3 AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
 e AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS page_end FROM o) SELECT doc_id, name, page_end - n + 1 AS page_start, page_end FROM e"""
 MISSING = """SELECT doc_id, CAST(0 AS INT) AS page_no, 'image_only' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 0, 'structured_only' FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
+NATIVE_MATCH = f"""{ELEMENTS}, c AS (SELECT DISTINCT doc_id, page_no, pos, unnest(regexp_extract_all(content, '<td>([^<]*)</td>', 1)) AS k FROM elements WHERE type = 'table'),
+n AS (SELECT doc_id, page_no, count(*) AS n FROM c GROUP BY 1, 2),
+m AS (SELECT a.doc_id, a.page_no, a.pos, b.page_no AS idx, count(*) AS met FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.k = b.k GROUP BY ALL),
+s AS (SELECT m.*, met / n.n AS score, row_number() OVER (PARTITION BY m.doc_id, m.page_no, m.pos ORDER BY met DESC, idx) AS r FROM m JOIN n ON m.doc_id = n.doc_id AND m.page_no = n.page_no WHERE n.n >= 4)
+SELECT doc_id, page_no, pos, idx, round_even(score, 4) AS score FROM s WHERE r = 1 AND score >= 0.6"""
+REASSIGNED = f"{ELEMENTS} SELECT doc_id, page_no, count(DISTINCT content) FILTER (WHERE type = 'text') > 1 AS ok FROM elements GROUP BY 1, 2"
+_LETTERS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+PROSE_NEAR_TABLES = f"""{ELEMENTS}, c AS (SELECT doc_id, page_no, pos, {_LETTERS.format("regexp_replace(content, '<[^>]*>', ' ', 'g')")} AS seen, list_transform(regexp_extract_all(content, '<td>([^<]*)</td>', 1), lambda x: {_LETTERS.format('x')}) AS cells FROM elements WHERE type = 'table')
+SELECT doc_id, page_no, pos, type, content FROM elements e WHERE NOT EXISTS (SELECT 1 FROM c WHERE e.type = 'text' AND c.doc_id = e.doc_id AND c.page_no = e.page_no AND abs(c.pos - e.pos) <= 3
+  AND length({_LETTERS.format('e.content')}) >= 4 AND (list_contains(c.cells, {_LETTERS.format('e.content')}) OR (length({_LETTERS.format('e.content')}) >= 12 AND contains(c.seen, {_LETTERS.format('e.content')}))))"""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import chunks, elements, headings, quality, tables
+from pagewright.operators import chunks, elements, evidence, headings, layout, quality, tables
 from pagewright.plans import oracles as o
 from pagewright.sources import rendered
 
@@ -91,6 +91,22 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.missing_pages(page("documents"), page("labels"))
 
 
+def native_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered tables against all tables of their document as natives."""
+    e = rendered.elements(spark, sf_dir)
+    natives = e.where("type = 'table'").select("doc_id", F.col("page_no").alias("idx"), F.col("content").alias("html"))
+    return tables.native_match(e, natives).select("doc_id", "page_no", "pos", "idx", F.bround("score", 4).alias("score"))
+
+
+def reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered pages against themselves with each text moved to the next text's place."""
+    e = rendered.elements(spark, sf_dir)
+    w = Window.partitionBy("doc_id", "page_no", F.col("type") == "text").orderBy("pos")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    moved = e.withColumn("content", F.when(F.col("type") == "text", F.coalesce(F.lag("content").over(w), F.last("content").over(whole))).otherwise(F.col("content")))
+    return layout.reassigned_only(e, moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rendered_elements": rendered.elements,
     "chunk_toc": shown(chunks.by_section),
@@ -124,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "markdown_pages": shown(elements.markdown),
     "xml_pages": shown(elements.xml),
     "table_facts": shown(tables.facts),
+    "native_match": native_match,
+    "layout_reassigned": reassigned,
+    "prose_near_tables": lambda s, d: evidence.drop_prose_near_tables(rendered.elements(s, d)).select("doc_id", "page_no", "pos", "type", "content"),
     "carry_forward": carried,
     "page_ranges": page_ranges,
     "missing_pages": missing,
@@ -161,6 +180,9 @@ ORACLES: dict[str, str] = {
     "markdown_pages": o.MARKDOWN,
     "xml_pages": o.XML,
     "table_facts": o.TABLE_FACTS,
+    "native_match": o.NATIVE_MATCH,
+    "layout_reassigned": o.REASSIGNED,
+    "prose_near_tables": o.PROSE_NEAR_TABLES,
     "carry_forward": o.CARRIED,
     "page_ranges": o.PAGE_RANGES,
     "missing_pages": o.MISSING,
