@@ -5,7 +5,8 @@ the k smallest distances of its members to the pivot) bounds from above the k-th
 neighbour distance of any query in a cell, by the triangle inequality; a vector is
 copied to a group of query cells only if its distance to its pivot leaves it a
 chance to be within that bound. Each group is then solved on its own, exactly, in
-blocks. Every vector is a query; a vector is not its own neighbour.
+blocks; where its vectors are many they are dealt to slabs of about SLAB_ROWS, so
+that no task holds more, and the slabs' neighbours are merged. Every vector is a query; a vector is not its own neighbour.
 
 Distances are Euclidean, in double precision, computed by differences for the
 vectors that a bound with slack lets through, so equal vectors tie exactly; ties go
@@ -24,14 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, prepare
+from pagewright.llm.common import cut, mix, prepare
 
 K = 10
 MAX_PIVOTS = 1024
 GROUP_ROWS = 4096
+SLAB_ROWS = 200_000
 BLOCK = 512
 SLACK = 1e-6
 
@@ -90,53 +92,66 @@ def _groups(between: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
     return group
 
 
-def _replicate(group: np.ndarray, least: np.ndarray):
-    """least[g, j]: a vector of cell j nearer to its pivot than this is of no use to group g."""
+def _replicate(group: np.ndarray, least: np.ndarray, slabs: int):
+    """least[g, j]: a vector of cell j nearer to its pivot than this is of no use to group g. A group's vectors are dealt
+    to slabs; its queries go to each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             cell, far = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            home = (mix(batch.column(0).to_numpy().astype(np.uint64)) % np.uint64(slabs)).astype(np.int32)
             for g in range(least.shape[0]):
                 query = group[cell] == g
-                take = query | (far >= least[g, cell] - SLACK)
-                if take.any():
-                    own = batch.filter(pa.array(take))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, g, np.int32)), pa.array(query[take]), own.column(0), own.column(1)], ["group", "query", "vec_id", "embedding"])
+                useful = query | (far >= least[g, cell] - SLACK)
+                for s in range(slabs):
+                    held = useful & (home == s)
+                    take = query | held
+                    if take.any():
+                        own = batch.filter(pa.array(take))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(own.num_rows, x, np.int32)) for x in (g, s)] + [pa.array(query[take]), pa.array(held[take]), own.column(0), own.column(1)],
+                            ["group", "slab", "query", "held", "vec_id", "embedding"],
+                        )
 
     return run
 
 
 def _solve(k: int):
+    """The k nearest of the slab's vectors to each of the group's queries, exact distances."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("embedding"))
-        order = np.argsort(ids, kind="stable")
-        ids, x, query = ids[order], x[order], table.column("query").combine_chunks().to_numpy(zero_copy_only=False)[order]
-        ask, out = np.flatnonzero(query), ([], [], [], [])
-        for lo in range(0, len(ask), BLOCK):
+        every, all_x = table.column("vec_id").to_numpy(), _matrix(table.column("embedding"))
+        order = np.argsort(every, kind="stable")
+        flag = {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)[order] for c in ("query", "held")}
+        every, all_x = every[order], all_x[order]
+        ids, x = every[flag["held"]], all_x[flag["held"]]
+        ask, out = np.flatnonzero(flag["query"]), ([], [], [], [])
+        for lo in range(0, len(ask) if len(ids) else 0, BLOCK):
             rows = ask[lo : lo + BLOCK]
-            d = distances(x[rows], x)
-            d[np.arange(len(rows)), rows] = np.inf
-            most = min(k, len(ids) - 1)
-            if not most:
-                continue
-            limit = np.partition(d, most - 1, axis=1)[:, most - 1]
+            d = distances(all_x[rows], x)
+            self_at = np.searchsorted(ids, every[rows])
+            same = (self_at < len(ids)) & (ids[np.minimum(self_at, len(ids) - 1)] == every[rows])
+            d[np.flatnonzero(same), self_at[same]] = np.inf
             for i, r in enumerate(rows):
-                near = np.flatnonzero(d[i] <= limit[i] + SLACK)
-                exact = np.sqrt(((x[near] - x[r]) ** 2).sum(1))
+                most = min(k, len(ids) - int(same[i]))
+                if not most:
+                    continue
+                near = np.flatnonzero(d[i] <= np.partition(d[i], most - 1)[most - 1] + SLACK)
+                exact = np.sqrt(((x[near] - all_x[r]) ** 2).sum(1))
                 best = np.lexsort((ids[near], exact))[:most]
-                out[0].append(np.full(most, ids[r]))
+                out[0].append(np.full(most, every[r]))
                 out[1].append(ids[near][best])
                 out[2].append(np.arange(1, most + 1))
                 out[3].append(exact[best])
         flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"vec_id": pa.array(flat[0].astype(np.int64)), "neighbour_id": pa.array(flat[1].astype(np.int64)), "rank": pa.array(flat[2].astype(np.int32)), "distance": pa.array(np.round(flat[3], 6))})
+        return pa.table({"vec_id": pa.array(flat[0].astype(np.int64)), "neighbour_id": pa.array(flat[1].astype(np.int64)), "rank": pa.array(flat[2].astype(np.int32)), "distance": pa.array(flat[3].astype(np.float64))})
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = K, max_pivots: int = MAX_PIVOTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, max_pivots: int = MAX_PIVOTS, group_rows: int = GROUP_ROWS, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """(vec_id, neighbour_id, rank, distance): k rows for each vector."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -164,8 +179,13 @@ def nearest(vectors: DataFrame, k: int = K, max_pivots: int = MAX_PIVOTS, group_
     least = np.full((group.max() + 1, len(pivots)), np.inf)
     for i in np.flatnonzero(size):
         np.minimum(least[group[i]], between[i] - radius[i] - theta[i], out=least[group[i]])
-    sent = placed.mapInArrow(_replicate(group, least), "group int, query boolean, vec_id long, embedding array<double>")
-    return sent.groupBy("group").applyInArrow(_solve(k), schema)
+    slabs = -(-n // slab_rows)
+    sent = placed.mapInArrow(_replicate(group, least, slabs), "group int, slab int, query boolean, held boolean, vec_id long, embedding array<double>")
+    found = sent.groupBy("group", "slab").applyInArrow(_solve(k), schema)
+    if slabs > 1:
+        best = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
+        found = found.withColumn("rank", best).where(F.col("rank") <= k)
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 ORACLE = f"""WITH pairs AS (SELECT a.vec_id, b.vec_id AS neighbour_id,

@@ -366,6 +366,8 @@ def test_knn_is_brute_force(spark):
     want = sorted((i, int(j), k + 1) for i in range(len(x)) for k, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:10]))
     got = knn.nearest(df, group_rows=40)
     assert sorted((a, b, c) for a, b, c, _ in rows(got)) == want
+    got = knn.nearest(df, group_rows=40, slab_rows=50)
+    assert sorted((a, b, c) for a, b, c, _ in rows(got)) == want
     assert rows(knn.nearest(df.limit(0))) == []
     assert rows(knn.nearest(df.where("vec_id = 1"))) == []
     assert len(rows(knn.nearest(df.where("vec_id < 4")))) == 12
