@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import cut, prepare, ragged, text_buffers
+from pagewright.llm.common import cut, pieces, prepare, ragged, text_buffers
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The rank file's own pattern; (?U) gives Java's \s the Unicode meaning.
@@ -67,16 +67,34 @@ def word_table(docs: DataFrame, path: str = RANKS) -> DataFrame:
     return cut(words.mapInArrow(_encode_words(path), "hash long, word string, ids array<int>"))
 
 
+def _pack(small: bool):
+    """Rows in order of their hashes as three flat arrays to a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+            ids = batch.column(1).flatten().to_numpy().astype(np.uint16 if small else np.int32)
+            flat = [pa.array([x.tobytes()], pa.binary()) for x in (batch.column(0).to_numpy(), sizes, ids)]
+            yield pa.RecordBatch.from_arrays(flat, ["hashes", "sizes", "ids"])
+
+    return run
+
+
 class Lookup:
-    """Sorted hashes with the place of each bucket's first, and the ids of all words in one array."""
+    """Sorted hashes and the ids of all words in one array; where each word's ids and each bucket begin is found on the worker."""
+
+    def __init__(self, parts: list[tuple[bytes, bytes, bytes]], small: bool):
+        parts = sorted(parts, key=lambda p: np.frombuffer(p[0][:8], np.uint64)[0])
+        self.hashes, self.sizes, self.ids = (np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate((np.uint64, np.int32, np.uint16 if small else np.int32)))
+        self.starts = self.first = None
 
-    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.sizes = np.diff(offsets).astype(np.int32)[order]
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
-        self.ids = ids[ragged(offsets[:-1][order].astype(np.int64), self.sizes.astype(np.int64))]
-        self.first = np.searchsorted(self.hashes >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+    def ready(self) -> Lookup:
+        if self.starts is None:
+            self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+            self.first = np.searchsorted(self.hashes >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        return self
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """Where each hash stands; every one must be there."""
@@ -97,45 +115,48 @@ class Lookup:
         return self.ids[ragged(self.starts[found], sizes)], ends[at]
 
 
-def _encoder(table):
+def _encoder(table, path: str | None):
+    """Ids by look-up; with a path also the texts that the ids decode to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = table.value
+        lookup, back = table.value.ready(), Pieces(path) if path else None
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            n = len(lists)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            hashes = lists.flatten().to_numpy().view(np.uint64)
-            null = lists.is_null()
-            lo = 0
-            while lo < n:  # about 200,000 words at a time
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 200_000, "right")) - 1)
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            hashes, null = lists.flatten().to_numpy().view(np.uint64), lists.is_null()
+            for lo, hi in pieces(bounds, 200_000):
                 ids, ends = lookup.encode(hashes[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=null.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], found], [*batch.schema.names[:-1], "token_ids"])
-                lo = hi
+                none = null.slice(lo, hi - lo)
+                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=none)]
+                if back is not None:
+                    made.append(back.join(ids, ends, none.to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], *made], [*batch.schema.names[:-1], "token_ids", "decoded"][: batch.num_columns - 1 + len(made)])
 
     return run
 
 
-def encode(docs: DataFrame, columns: list[str], path: str = RANKS, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
-    """The columns named (cast to what Arrow carries unchanged) and token_ids array<int>, a row for each row of docs."""
+def encode(docs: DataFrame, columns: list[str], path: str = RANKS, max_table_bytes: int = MAX_TABLE_BYTES, decoded: bool = False) -> DataFrame:
+    """The columns named and token_ids array<int>, a row for each row of docs; with ``decoded`` also the text of these ids.
+
+    Decoding in the same pass saves sending all ids to Python again.
+    """
     spark = docs.sparkSession
     prepare(spark)
     table = word_table(docs.select("text"), path)
     size = table.agg(F.coalesce(F.sum(16 + 4 * F.size("ids")), F.lit(0)).alias("bytes"), F.count("*").alias("n"), F.count_distinct("hash").alias("hashes")).first()
     if size["bytes"] > max_table_bytes or size["n"] != size["hashes"]:
-        return _encode_by_shuffle(docs, columns, table)
-    found = table.select("hash", "ids").toArrow().combine_chunks()
-    lists = found.column("ids").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    hashes = found.column("hash").to_numpy().view(np.uint64)
-    lookup = Lookup(hashes, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), lists.flatten().to_numpy().astype(np.uint16 if vocabulary(path)[1].__len__() <= 1 << 16 else np.int32))
-    shared = spark.sparkContext.broadcast(lookup)
-    del found, lists, hashes, lookup
+        found = _encode_by_shuffle(docs, columns, table)
+        return decode(found, path) if decoded else found
+    # Workers order and flatten the table, so the driver only passes bytes on.
+    small = len(vocabulary(path)[1]) <= 1 << 16
+    unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    packed = table.select("hash", "ids").orderBy(unsigned).mapInArrow(_pack(small), "hashes binary, sizes binary, ids binary").collect()
+    shared = spark.sparkContext.broadcast(Lookup([(r["hashes"], r["sizes"], r["ids"]) for r in packed], small))
+    del packed
     hashed = docs.select(*columns, F.transform(split(), lambda w: F.xxhash64(w)).alias("__hashes"))
     kept = docs.select(*columns).schema
-    return hashed.mapInArrow(_encoder(shared), kept.add("token_ids", T.ArrayType(T.IntegerType())))
+    schema = kept.add("token_ids", T.ArrayType(T.IntegerType()))
+    return hashed.mapInArrow(_encoder(shared, path if decoded else None), schema.add("decoded", T.StringType()) if decoded else schema)
 
 
 def _encode_by_shuffle(docs: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:
@@ -148,36 +169,43 @@ def _encode_by_shuffle(docs: DataFrame, columns: list[str], table: DataFrame) ->
     return whole.select(*[F.col(f"__row.{c}").alias(c) for c in columns], F.when(~F.col("__null"), F.flatten(F.col("__parts.ids"))).alias("token_ids"))
 
 
+class Pieces:
+    """The id-to-piece table; as large as the vocabulary, whatever the corpus."""
+
+    def __init__(self, path: str):
+        self.raw, self.start = text_buffers(vocabulary(path)[1])
+        self.size = np.diff(self.start)
+
+    def join(self, ids: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
+        """Texts of the rows that ``ends`` bounds among the ids."""
+        size = self.size[ids]
+        at = np.concatenate([[0], np.cumsum(size)])[ends].astype(np.int32)
+        data = self.raw[ragged(self.start[ids], size)]
+        valid = np.packbits(~null, bitorder="little").tobytes()
+        return pa.StringArray.from_buffers(len(null), pa.py_buffer(at), pa.py_buffer(data), pa.py_buffer(valid))
+
+
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(path)[1]
-        raw, start = text_buffers(pieces)
-        size = np.diff(start)
+        table = Pieces(path)
         for batch in batches:
             lists = batch.column("token_ids")
-            n = len(lists)
             bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
             ids, null = lists.flatten().to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
-            lo = 0
-            while lo < n:
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 300_000, "right")) - 1)
-                own = ids[bounds[lo] : bounds[hi]]
-                ends = np.concatenate([[0], np.cumsum(size[own], dtype=np.int64)])[bounds[lo : hi + 1] - bounds[lo]]
-                data = raw[ragged(start[own], size[own].astype(np.int64))]
-                text = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data), pa.py_buffer(np.packbits(~null[lo:hi], bitorder="little").tobytes()))
+            for lo, hi in pieces(bounds, 300_000):
+                text = table.join(ids[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], null[lo:hi])
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns], text], [*batch.schema.names, "decoded"])
-                lo = hi
 
     return run
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
-    """The rows with ``decoded``, the text of their token_ids. The id-to-piece table is as large as the vocabulary, whatever the corpus."""
+    """The rows with ``decoded``, the text of their token_ids."""
     prepare(encoded.sparkSession)
     return encoded.mapInArrow(_decoder(path), encoded.select("*").schema.add("decoded", T.StringType()))
 
 
 def encode_and_decode(docs: DataFrame, path: str = RANKS, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded) for each row."""
-    found = decode(encode(docs, ["doc_id"], path, max_table_bytes), path)
+    found = encode(docs, ["doc_id"], path, max_table_bytes, decoded=True)
     return found.select("doc_id", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids", "decoded")
