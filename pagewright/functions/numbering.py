@@ -68,10 +68,7 @@ def marker(text: Column) -> Column:
 def is_annex(text: Column) -> Column:
     t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^[\[ \t]+", "")
     bare = F.regexp_replace(t, _u(ANNEX_SEPARATORS), "")
-    starts = F.lit(False)
-    for word in ANNEX:
-        starts = starts | bare.startswith(word)
-    return starts | t.rlike(_u(CITED))
+    return bare.rlike("^(" + "|".join(ANNEX) + ")") | t.rlike(_u(CITED))
 
 
 def rank(text: Column, kind: Column) -> Column:

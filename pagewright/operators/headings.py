@@ -32,13 +32,16 @@ def drop_toc_entries(elements: DataFrame) -> DataFrame:
 
 def drop_furniture(elements: DataFrame) -> DataFrame:
     """Running heads: of a short heading found on at least 60 % of five or more pages (three at least) only the first stays."""
-    marked = elements.withColumn("__title", F.when(F.coalesce(F.col("type"), F.lit("")).startswith("heading"), num.plain_title(F.col("content"))))
-    pages = marked.groupBy("doc_id").agg(F.count_distinct("page_no").alias("__pages"))
-    short = marked.where((F.col("__title") != "") & (F.length("__title") <= FURNITURE_TITLE))
-    on = short.groupBy("doc_id", "__title").agg(F.count_distinct("page_no").alias("__on")).join(pages, "doc_id")
-    running = on.where((F.col("__pages") >= FURNITURE_PAGES) & (F.col("__on") >= F.greatest(F.lit(3), F.floor(F.col("__pages") * FURNITURE_SHARE)))).select("doc_id", "__title", F.lit(True).alias("__running"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__title").orderBy(*_ORDER))
-    return marked.join(running, ["doc_id", "__title"], "left").withColumn("__nth", nth).where("__running IS NULL OR __nth = 1").select(*elements.columns)
+    title = F.when(F.coalesce(F.col("type"), F.lit("")).startswith("heading"), num.plain_title(F.col("content")))
+    by_doc, by_title = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "__title")
+    # Distinct pages as the greatest dense rank: two shuffles, no self-join.
+    e = elements.withColumn("__title", title).withColumn("__page", F.dense_rank().over(by_doc.orderBy("page_no")))
+    e = e.withColumn("__pages", F.max("__page").over(by_doc))
+    e = e.withColumns({"__on": F.dense_rank().over(by_title.orderBy("page_no")), "__nth": F.row_number().over(by_title.orderBy(*_ORDER))})
+    e = e.withColumn("__on", F.max("__on").over(by_title))
+    often = (F.col("__pages") >= FURNITURE_PAGES) & (F.col("__on") >= F.greatest(F.lit(3), F.floor(F.col("__pages") * FURNITURE_SHARE)))
+    running = (F.col("__title") != "") & (F.length("__title") <= FURNITURE_TITLE) & often
+    return e.where(~F.coalesce(running, F.lit(False)) | (F.col("__nth") == 1)).select(*elements.columns)
 
 
 def merge_continued(elements: DataFrame) -> DataFrame:
