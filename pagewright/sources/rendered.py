@@ -8,7 +8,8 @@ supplier balances, a unit line and a page counter. The SQL runs in Spark and, wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 LONG = "the holder named here keeps separate accounts for every calendar quarter"
 
@@ -59,10 +60,47 @@ def _sql(aggregate: str) -> str:
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_no, pos, type, content, caption of every element."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier")}
-    sql = _sql("listagg({value}, '') WITHIN GROUP (ORDER BY {key})")
-    return spark.sql(sql.replace("string_type", "STRING"), **tables)
+    """doc_id, page_no, pos, type, content, caption of every element.
+
+    A page's elements are one array, so each table is scanned once and the place in the array is the position.
+    """
+    region, nation, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier"))
+    key, text = F.col("n_nationkey"), lambda c: c.cast("string")
+    page = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    pages = nation.join(region, nation.n_regionkey == region.r_regionkey).withColumn("page_no", page)
+    cents = F.round(F.col("s_acctbal") * 100).cast("long").alias("cents")
+    held = supplier.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), cents))).alias("held"))
+    rows = pages.join(held, F.col("s_nationkey") == key, "left")
+
+    def item(kind: Column | str, content: Column | str) -> Column:
+        return F.struct(*[(F.lit(x) if isinstance(x, str) else x).alias(n) for x, n in ((kind, "type"), (content, "content"))])
+
+    def some(when: Column, *items: Column) -> Column:
+        return F.filter(F.array(*items), lambda _: when)
+
+    def line(s: Column) -> Column:
+        k = s["key"] % 4
+        shown = F.when(k == 0, F.concat(F.lit("① "), s["name"], F.lit(" applies"))).when(k == 1, F.concat(text(s["key"]), F.lit(". "), s["name"], F.lit(f" {LONG}")))
+        return item(F.when(k == 3, "text").otherwise("heading_3"), shown.when(k == 2, F.concat(F.lit("가. "), s["name"])).otherwise(F.concat(F.lit("Supplier line of "), F.col("n_name"), F.lit(" 및"))))
+
+    cells = F.array_join(F.transform("held", lambda s: F.concat(F.lit("<tr><td>"), text(s["key"]), F.lit("</td><td>"), text(s["cents"]), F.lit("</td></tr>"))), "")
+    number = text(F.col("page_no"))
+    parts = F.concat(
+        F.array(
+            item("heading_1", F.concat(F.lit("제"), text(F.col("n_regionkey") + 1), F.lit("장 "), F.col("r_name"))),
+            item("heading_2", F.concat(F.lit("제"), text(key + 1), F.lit("조("), F.col("n_name"), F.lit(") general terms"))),
+        ),
+        F.coalesce(F.transform("held", line), F.filter(F.array(item("", "")), lambda _: F.lit(False))),
+        some(key % 3 == 0, item("heading_3", F.concat(F.lit("Balances of "), F.col("n_name")))),
+        some(F.col("held").isNotNull(), item("table", F.concat(F.lit("<table><tr><td>key</td><td>cents</td></tr>"), F.coalesce(cells, F.lit("")), F.lit("</table>")))),
+        some(key % 2 == 0, item("text", "(단위: 천원)")),
+        F.array(item("text", F.concat(F.lit("Supplier line of "), F.col("n_name"), F.lit(" with")))),
+        some(F.col("page_no") <= 2, item("toc_entry", F.concat(F.col("n_name"), F.lit("::"), number))),
+        some(key % 2 == 1, item("text", F.concat(F.lit("- "), number, F.lit(" -")))),
+    )
+    made = rows.select("n_regionkey", F.col("page_no").alias("n"), parts.alias("parts"))
+    out = made.select(F.col("n_regionkey").cast("int").alias("doc_id"), F.col("n").cast("int").alias("page_no"), F.posexplode("parts").alias("pos", "x"))
+    return out.select("doc_id", "page_no", "pos", "x.type", "x.content", F.lit("").alias("caption"))
 
 
 #: The same rows in DuckDB, over its views.
