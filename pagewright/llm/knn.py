@@ -33,8 +33,8 @@ from pagewright.llm.common import cut, mix, prepare
 K = 10
 MAX_PIVOTS = 1024
 GROUP_ROWS = 4096
-SLAB_ROWS = 200_000
-BLOCK = 512
+SLAB_ROWS = 50_000
+BLOCK_CELLS = 1_000_000
 SLACK = 1e-6
 
 
@@ -46,8 +46,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All pairs, fast; right to about 1e-7."""
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0))
+    out = a @ b.T
+    out *= -2
+    out += (a * a).sum(1)[:, None]
+    out += (b * b).sum(1)
+    return np.sqrt(np.maximum(out, 0, out=out), out=out)
 
 
 def _assign(pivots: np.ndarray):
@@ -128,8 +131,9 @@ def _solve(k: int):
         every, all_x = every[order], all_x[order]
         ids, x = every[flag["held"]], all_x[flag["held"]]
         ask, out = np.flatnonzero(flag["query"]), ([], [], [], [])
-        for lo in range(0, len(ask) if len(ids) else 0, BLOCK):
-            rows = ask[lo : lo + BLOCK]
+        block = max(1, BLOCK_CELLS // max(1, len(ids)))
+        for lo in range(0, len(ask) if len(ids) else 0, block):
+            rows = ask[lo : lo + block]
             d = distances(all_x[rows], x)
             self_at = np.searchsorted(ids, every[rows])
             same = (self_at < len(ids)) & (ids[np.minimum(self_at, len(ids) - 1)] == every[rows])
