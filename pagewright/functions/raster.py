@@ -52,14 +52,15 @@ def vertical_rules(image: np.ndarray) -> list[Line]:
     return lines(g.T < 160, max(50, int(g.shape[0] * 0.08)))
 
 
-def rules_between(image: np.ndarray, left: int, right: int, top: int, bottom: int) -> list[int]:
+def rules_between(image: np.ndarray, across: tuple[int, int], down: tuple[int, int]) -> list[int]:
     """Vertical rules inside a table row: dark for 72 % of its height, three pixels off its edges."""
-    top, bottom = top + 3, bottom - 3
+    (left, right), (top, bottom) = across, (down[0] + 3, down[1] - 3)
     if bottom - top < 6:
         return []
     lo = max(0, left - 4)
     strip = gray(image)[top:bottom, lo : right + 5].T < 220
-    return [lo + x for x, _, _ in lines(strip, max(4, int((bottom - top) * 0.72)))]
+    tall = int(len(strip[0]) * 0.72)
+    return [lo + x for x, _, _ in lines(strip, max(4, tall))]
 
 
 def table_window(image: np.ndarray, n_rows: int) -> list[Line]:
@@ -83,9 +84,10 @@ def spans(image: np.ndarray, n_rows: int, n_cols: int) -> list[list[int]]:
     if not window:
         return []
     left, right = sorted(x[1] for x in window)[len(window) // 2], sorted(x[2] for x in window)[len(window) // 2]
-    inner = [rules_between(image, left, right, a[0], b[0]) for a, b in zip(window, window[1:])]
+    inner = [rules_between(image, (left, right), (a[0], b[0])) for a, b in zip(window, window[1:])]
     full = [r for r in inner if len(r) == n_cols + 1]
-    slack = max(6, int((right - left) * 0.012))
+    wide = right - left
+    slack = max(6, int(wide * 0.012))
     if len(full) < 2 or any(abs(x - y) > slack for r in full[1:] for x, y in zip(full[0], r)):
         return []
     out = []

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 _SEP = r"[-\s]?"
+LINE_BREAK = "(?i)<br" + r"\s*/?>"
+BLOCK_END = "(?i)</(" + "|".join("table h[1-6] li tr div p".split()) + ")>"
+MASKS = tuple("card account rrn bizno phone email".split())
 
 
 def _groups(*sizes: str) -> str:
@@ -58,14 +61,14 @@ def html_text(markup: Column) -> Column:
     """Visible text of simple HTML: blocks end lines, tags are blanks, the common entities are read."""
     t = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?is)<script\b.*?</script>", "")
     t = F.regexp_replace(t, r"(?is)<style\b.*?</style>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|div|tr|li|h[1-6]|table)>", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, LINE_BREAK, "\n"), BLOCK_END, "\n")
     t = F.regexp_replace(t, "<[^>]+>", " ")
     for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("middot", "·"), ("copy", "©"), ("amp", "&")):
         t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), " ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
-def mask_pii(text: Column, kinds: tuple[str, ...] = ("card", "account", "rrn", "bizno", "phone", "email")) -> Column:
+def mask_pii(text: Column, kinds: tuple[str, ...] = MASKS) -> Column:
     """Masks in the order of kinds above, keeping the format; only the kinds named."""
     t = text
     if "card" in kinds:
@@ -83,7 +86,7 @@ def mask_pii(text: Column, kinds: tuple[str, ...] = ("card", "account", "rrn", "
     return t
 
 
-_ACCOUNT = re.compile(r"(?<!\d)" + r"[-\s]".join((r"\d{2,6}", r"\d{2,6}", r"\d{2,7}")) + r"(?:[-\s]\d{1,6})?" + r"(?!\d)")
+_ACCOUNT = re.compile(r"(?<!\d)" + r"[-\s]".join((r"\d{2,6}", r"\d{2,6}", r"\d{2,7}")) + r"(?:[-\s]" + r"\d{1,6})?(?!\d)")
 
 
 @F.pandas_udf(types.StringType())
@@ -98,7 +101,7 @@ def file_stem_number(name: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r'[\\/:*?"<>|]', "_"), r"^\.+", "")
+    return F.regexp_replace(F.regexp_replace(name, "[" + r'<>:"/|?*\\' + "]", "_"), r"^\.+", "")
 
 
 def _unit(token: str) -> str:
@@ -110,18 +113,18 @@ def _unit(token: str) -> str:
         head, rest = token[:a], token[2 * a :]
         if token[a : 2 * a] != head:
             continue
-        for b in range(1, min(16, len(rest) // 2) + 1):
-            if len(rest) % b == 0 and rest == rest[:b] * (len(rest) // b):
-                return head + rest[:b]
+        unit = next((rest[:b] for b in range(1, 17) if 2 * b <= len(rest) and rest == rest[:b] * (len(rest) // b)), None)
+        if unit is not None:
+            return head + unit
     return token
 
 
 def collapse(text: str | None) -> str | None:
     """'AAA' as 'A' and 'AABB' as 'AB' in texts of up to 40 characters; with blanks inside only if two words change."""
     core = (text or "").strip()
-    if not core or len(core) > 40:
+    if not 0 < len(core) <= 40:
         return text
-    words = re.split(r"(\s+)", core)
+    words = re.compile(r"(\s+)").split(core)
     new = [w if i % 2 else _unit(w) for i, w in enumerate(words)]
     changed = sum(a != b for a, b in zip(words, new))
     if changed < (2 if len(words) > 1 else 1):
@@ -149,7 +152,7 @@ def is_runaway(text: pd.Series) -> pd.Series:
 def paginate(text: str | None, width: int = 84, lines: int = 88) -> list[str]:
     """Wrapped pages of plain text: no page is empty and blank lines never stand together."""
     out: list[str] = []
-    for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+    for line in re.split("\r\n|\r|\n", text or ""):
         if line.strip():
             out += textwrap.wrap(line, max(20, width), break_on_hyphens=False, replace_whitespace=False) or [line]
         elif out and out[-1]:
@@ -168,7 +171,7 @@ def plain_pages(text: pd.Series) -> pd.Series:
 
 def salvage(text: str | None) -> list[dict]:
     """The complete objects of a cut-off ``elements`` array."""
-    start = re.search(r'"elements"\s*:\s*\[', text or "")
+    start = re.search('"elements"' + r"\s*:\s*\[", text or "")
     out: list[dict] = []
     at, decoder = start.end() if start else -1, json.JSONDecoder()
     while 0 <= at < len(text or ""):
@@ -192,8 +195,8 @@ def mend_strings(text: str | None) -> str | None:
     """JSON whose strings hold raw control characters or bad escapes, made readable."""
     if text is None:
         return None
-    out, inside, i = [], False, 0
-    while i < len(text):
+    out, inside, i, end = [], False, 0, len(text)
+    while i < end:
         c = text[i]
         if inside and c == "\\":
             nxt = text[i + 1 : i + 2]

@@ -91,7 +91,7 @@ def chunk(elements: DataFrame, strategies: tuple[str, ...] = ("page", "toc", "tr
 
 def split_text(text: Column, limit: int) -> Column:
     """Pieces of at most ``limit`` characters, cut at sentence ends where possible; a longer sentence is cut by length."""
-    whole = F.split(text, r"(?U)(?<=[.!?。\n])\s+")
+    whole = F.split(text, "(?U)(?<=[\n。?!.])" + r"\s+")
     start = F.struct(F.expr("cast(array() as array<string>)").alias("parts"), F.lit("").alias("buf"))
 
     def closed(state: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_no")
+PROSE = ("text", "footnote")
+DASH, COUNT = "[–—-]", r"\s*\d{1,4}\s*"
 TITLE_WORDS = "요약|위험|평가|산정|태도|내역|현황|등급|표"
 
 
@@ -31,7 +33,7 @@ def is_counter(text: Column, page_no: Column, i: Column, n: Column, marked: Colu
     bare = s.rlike(r"^\d{1,3}$") & edge
     number = F.try_to_number(s, F.lit("999")).cast("int")
     near = F.abs(number - page_no) <= 3
-    strong = s.rlike(r"^[–—-]?\s*/\s*\d{1,4}\s*[–—-]?$") | s.rlike(r"^[–—-]\s*\d{1,4}\s*[–—-]?$")
+    strong = s.rlike(f"^{DASH}?\\s*/{COUNT}{DASH}?$") | s.rlike(f"^{DASH}{COUNT}{DASH}?$")
     return F.coalesce((s != "") & (strong | (bare & (number <= 200) & (F.coalesce(near, F.lit(False)) | (marked & (i >= F.greatest(F.lit(0), n - 3)))))), F.lit(False))
 
 
@@ -42,10 +44,10 @@ def drop_page_artifacts(elements: DataFrame) -> DataFrame:
     e = numbered(elements).withColumn("__marked", prose & is_counter(F.col("content"), F.lit(None).cast("int"), i, n, F.lit(False)))
     e = e.withColumn("__any", F.bool_or("__marked").over(Window.partitionBy(*PAGE)))
     value = F.trim(F.coalesce("content", F.lit("")))
-    attached = r"(?s)^(.+?)\s*[–—-]\s*/?\s*((?:\d\s*){1,4})[–—-]\s*$"
+    attached = "(?s)^(.+?)\\s*" + DASH + r"\s*/?\s*(" + "(?:\\d\\s*){1,4}" + f"){DASH}\\s*$"
     body, digits = F.trim(F.regexp_extract(value, attached, 1)), F.regexp_replace(F.regexp_extract(value, attached, 2), r"\s", "")
     cut = (
-        F.col("type").isin("text", "footnote", "heading_1", "heading_2", "heading_3")
+        F.col("type").isin(*PROSE, *[f"heading_{i}" for i in (1, 2, 3)])
         & ((i <= 1) | (i >= F.greatest(F.lit(0), n - 3)))
         & (digits != "")
         & (F.try_to_number(digits, F.lit("9999")) == F.col("page_no"))
@@ -59,7 +61,7 @@ def backfill_captions(elements: DataFrame) -> DataFrame:
     """A table without a caption takes the title-like element right before it; footnotes between do not matter."""
     kind, s = F.coalesce(F.col("type"), F.lit("")), squash("content")
     head = kind.startswith("heading")
-    titled = (head | kind.startswith("text")) & (s != "") & (F.length(s) <= 90) & ~s.rlike(r"^[–—-]?\s*/?\s*\d{1,4}\s*[–—-]?$") & (head | s.rlike(TITLE_WORDS))
+    titled = (head | kind.startswith("text")) & (s != "") & (F.length(s) <= 90) & ~s.rlike(f"^{DASH}?\\s*/?{COUNT}{DASH}?$") & (head | s.rlike(TITLE_WORDS))
     # Everything but a footnote either is a title or ends the reach of the one before.
     said = F.when(~kind.eqNullSafe("footnote"), F.when(titled & (kind != "table"), s).otherwise(F.lit("")))
     last = F.last(said, ignorenulls=True).over(_page().rowsBetween(Window.unboundedPreceding, -1))

@@ -28,9 +28,9 @@ def groups_of(rows: list[Node]) -> list[list[Node]]:
     """Rows that a cell ties together, never to be parted."""
     out, i = [], 0
     while i < len(rows):
-        reach = i + max((span(c, "rowspan") for c in cells_of(rows[i])), default=1)
+        reach = min(len(rows), i + max([1, *(span(c, "rowspan") for c in cells_of(rows[i]))]))
         end = i + 1
-        while end < min(reach, len(rows)):
+        while end < reach:
             first = cells_of(rows[end])[:1]
             if first and span(first[0], "rowspan") > 1:
                 break

@@ -100,7 +100,7 @@ SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INT) AS part, unnest(l) AS p
 
 HTML_TEXT = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'),
-  '(?i)</(p|div|tr|li|h[1-6]|table)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
+  '(?i)</(h[1-6]|table|li|tr|div|p)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'),
   '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages"""
 

@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.functions.text import BLOCK_END, LINE_BREAK
+
 SUFFIXES = tuple("pdf hwp hwpx doc docx ppt pptx xls xlsx odt rtf txt csv eml".split())
-ANCHOR_CHARS = 8
+_SECTION = re.compile("Contents/section" + r"\d+[.]xml")
 BATCH_CHARS = 3000
 
 
@@ -90,7 +92,7 @@ def hwpx(content: bytes) -> tuple[str, list[tuple[str, str]]]:
         manifest = z.read("META-INF/manifest.xml") if "META-INF/manifest.xml" in names else b""
         if b"encryption-data" in manifest:
             return "encrypted", []
-        sections = sorted((n for n in names if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
+        sections = sorted((n for n in names if _SECTION.fullmatch(n)), key=lambda n: int(re.search(r"\d+", n).group()))
         parts: list[tuple[str, str]] = []
         for n in sections:
             for p in ElementTree.fromstring(z.read(n)):
@@ -114,7 +116,7 @@ def hwpx_memos(content: bytes) -> list[str]:
             for memo in ElementTree.fromstring(z.read(n)).iter():
                 if _name(memo.tag) == "memo":
                     text = " ".join(_hwpx_text(p).strip() for p in memo.iter() if _name(p.tag) == "p").strip()
-                    seen.setdefault(re.sub(r"\s+", "", text), text)
+                    seen.setdefault("".join(text.split()), text)
     except (zipfile.BadZipFile, ElementTree.ParseError):
         pass
     return [v for k, v in seen.items() if k]
@@ -181,9 +183,9 @@ def email(content: bytes) -> tuple[str, list[tuple[str, str]]]:
     if body is not None:
         text = body.get_content()
         if body.get_content_subtype() == "html":
-            text = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", text)
-            text = re.sub(r"(?i)<br\s*/?>|</(?:p|div|tr|li|h\d|table)>", "\n", text)
-            text = unescape(re.sub(r"<[^>]+>", " ", text))
+            for pattern, put in ((r"<(style|script)\b[\s\S]*?</\1>", ""), (f"{LINE_BREAK[4:]}|{BLOCK_END[4:]}", "\n"), ("<[^>]+>", " ")):
+                text = re.compile(pattern, re.I).sub(put, text)
+            text = unescape(text)
         parts.append(("text", re.sub(r"\n\s*\n+", "\n", re.sub(r"[ \t]+", " ", text)).strip()))
     for a in m.iter_attachments():
         name, data = a.get_filename() or "attachment", a.get_payload(decode=True) or b""
@@ -271,7 +273,7 @@ def plain(content: bytes) -> tuple[str, list[tuple[str, str]]]:
             break
         except UnicodeDecodeError:
             continue
-    parts = [("text", p.strip()) for p in re.split(r"\n\s*\n", text) if p.strip()]
+    parts = [("text", p.strip()) for p in re.compile(r"\n\s*\n").split(text) if p.strip()]
     return ("ok" if parts else "empty"), parts
 
 
