@@ -16,7 +16,8 @@ from pagewright.sources import files
 
 
 def table(*rows):
-    return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+    tag = "<{0}>{1}</{0}>".format
+    return tag("table", "".join(tag("tr", "".join(tag("td", c) for c in r)) for r in rows))
 
 
 def widths(html):
