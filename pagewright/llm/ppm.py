@@ -11,8 +11,12 @@ a hash of their text, and each half is scored by the trie of the other; exact
 copies fall into the same half. Excluded counts depend only on the longer context
 and are summed when the trie is built, so scoring is a look-up per byte and level.
 
-The trie's size is measured before it is fetched: if it has more than ``max_nodes``
-nodes, contexts are shortened until it fits. All bytes are still counted and scored.
+The trie's size is measured before it is fetched. Up to ``max_broadcast`` nodes it
+goes to every worker. A larger one is dealt out by the last two bytes of the context,
+so that a context and its shorter forms down to order 2 meet in one task, to which the
+at most 65,536 nodes of order 1 are sent; the costs of nodes are then joined to the
+distinct nodes of each chunk of texts. Order and scores are the same either way.
+Contexts are shortened only for a caller that gives ``max_nodes``.
 
 Defined results: a null text has 0 bytes, 0 bits and a null rate, as has an empty
 one; repeated rows and null doc_ids are counted and scored row by row. If the other
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ from pagewright.llm.common import Places, cut, pieces, prepare, text_buffers
 
 ORDER = 4
 MAX_NODES = 6_000_000
+#: Nodes to a task and bytes of text to a chunk where the trie is dealt out.
+PART_NODES, CHUNK = 500_000, 16 << 20
 
 
 def keys(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
@@ -83,11 +90,14 @@ def _count(order: int):
 class Trie:
     """Costs in bits of every node, with escapes and exclusions summed beforehand."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, order: int):
+    def __init__(self, key: np.ndarray, n: np.ndarray, order: int, below: tuple[np.ndarray, np.ndarray] | None = None):
+        """``below`` has the nodes of order 1 if the keys are only those of some contexts of order 2."""
         key, n = key[n > 0].astype(np.uint64), n[n > 0].astype(np.float64)
         self.order, self.levels = order, []
         levels = []
         for k in range(order, -1, -1):
+            if below is not None and k == 1:
+                key, n = below[0][below[1] > 0].astype(np.uint64), below[1][below[1] > 0].astype(np.float64)
             context, first = np.unique(key >> np.uint64(8), return_index=True) if len(key) else (key, np.zeros(0, np.int64))
             of = np.searchsorted(context, key >> np.uint64(8))
             total, kinds = np.bincount(of, n, len(context)), np.bincount(of, minlength=len(context)).astype(np.float64)
@@ -134,25 +144,120 @@ class Trie:
         return out
 
 
+def _scored(doc_id: pa.Array, text: pa.Array, order: int, costs) -> Iterator[pa.RecordBatch]:
+    """Rows scored by ``costs`` of (key, half of each byte)."""
+    raw, off = text_buffers(text)
+    for lo, hi in pieces(off):
+        own, rel = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        cost = costs(keys(own, rel, order), np.repeat(halves(own, rel), np.diff(rel)))
+        size = np.diff(rel)
+        total = np.zeros(hi - lo)
+        if len(cost):
+            total[size > 0] = np.add.reduceat(cost, rel[:-1][size > 0])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = pa.array(np.round(total / size, 6), mask=size == 0)
+        yield pa.RecordBatch.from_arrays([doc_id.slice(lo, hi - lo), pa.array(size), pa.array(np.round(total, 3)), rate], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, tries = shared.value
+
+        def costs(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+            cost = np.zeros(len(key))
+            for h in (0, 1):
+                mine = at == h
+                cost[mine] = tries[1 - h].bits(key[mine])
+            return cost
+
+        for batch in batches:
+            yield from _scored(batch.column(0), batch.column(1), order, costs)
+
+    return run
+
+
+def _halved(key: np.ndarray, half: np.ndarray) -> np.ndarray:
+    return (key | (half.astype(np.uint64) << np.uint64(63))).view(np.int64)
+
+
+def _node_costs(order: int, below):
+    """(node, cost): of each key of this partition's contexts in each half that has it, the half being the highest bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, *n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        by = np.argsort(key)
+        key, n = key[by], [x[by] for x in n]
+        low, *m = below.value
+        for h in (0, 1):
+            asked = key[n[h] > 0].astype(np.uint64)
+            cost, node = Trie(key, n[1 - h], order, (low, m[1 - h])).bits(asked), _halved(asked, np.full(len(asked), h))
+            for lo in range(0, len(node), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo : lo + 100_000]), pa.array(cost[lo : lo + 100_000])], ["node", "cost"])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of a chunk of about ``CHUNK`` bytes, each row counted as 64 bytes more than its text."""
+    at, part = 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        _, off = text_buffers(batch.column(1))
+        begin = at + off + 64 * np.arange(len(off))
+        at = int(begin[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(part + begin[:-1] // CHUNK), batch.column(0), batch.column(1)], ["chunk", "doc_id", "text"])
+
+
+def _asked(order: int):
+    """(chunk, node): the distinct nodes of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            node = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+            for lo in range(0, len(node), 100_000):
+                some = node[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now, np.int64)), pa.array(some)], ["chunk", "node"])
+
         for batch in batches:
+            chunk = batch.column(0).to_numpy()
             raw, off = text_buffers(batch.column(1))
-            for lo, hi in pieces(off):
-                own, rel = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                key, half = keys(own, rel, order), halves(own, rel)
-                at, cost = np.repeat(half, np.diff(rel)), np.zeros(len(key))
-                for h in (0, 1):
-                    mine = at == h
-                    cost[mine] = tries[1 - h].bits(key[mine])
-                size = np.diff(rel)
-                total = np.zeros(hi - lo)
-                if len(cost):
-                    total[size > 0] = np.add.reduceat(cost, rel[:-1][size > 0])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    rate = pa.array(np.round(total / size, 6), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(np.round(total, 3)), rate], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+            edges = np.flatnonzero(np.diff(chunk)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)]):
+                if a == b:
+                    continue
+                if chunk[a] != now:
+                    yield from out()
+                    now, parts = int(chunk[a]), []
+                for lo, hi in pieces(off[a : b + 1]):
+                    own, rel = raw[off[a + lo] : off[a + hi]], off[a + lo : a + hi + 1] - off[a + lo]
+                    parts.append(np.unique(_halved(keys(own, rel, order), np.repeat(halves(own, rel), np.diff(rel)))))
+                if len(parts) > 16:
+                    parts = [np.unique(np.concatenate(parts))]
+        yield from out()
+
+    return run
+
+
+def _score_chunk(order: int):
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        node, cost = found.column("node").to_numpy(), found.column("cost").to_numpy()
+        by = np.argsort(node)
+        node, cost = node[by], cost[by]
+
+        def costs(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+            want = _halved(key, at)
+            place = np.searchsorted(node, want)
+            if len(want) and not (len(node) and np.array_equal(node[np.minimum(place, len(node) - 1)], want)):
+                raise ValueError("a node of the texts has no cost")
+            return cost[place]
+
+        rows = rows.combine_chunks()
+        doc_id = pa.array([], pa.int64()) if not rows.num_rows else rows.column("doc_id").chunk(0)
+        return pa.Table.from_batches(list(_scored(doc_id, rows.column("text"), order, costs)), pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("bits", pa.float64()), ("bits_per_byte", pa.float64())]))
 
     return run
 
@@ -162,17 +267,39 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.select("text").mapInArrow(_count(order), "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def code_lengths(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte) for each row."""
+def _shortened(nodes: DataFrame, order: int) -> DataFrame:
+    """The nodes with contexts cut to ``order`` bytes."""
+    return nodes.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _fetched(nodes: DataFrame) -> list[np.ndarray]:
+    found = nodes.toArrow().combine_chunks().sort_by("key")
+    return [found.column(c).to_numpy() for c in ("key", "n0", "n1")]
+
+
+def _by_shuffle(own: DataFrame, nodes: DataFrame, n: int, order: int) -> DataFrame:
+    below = own.sparkSession.sparkContext.broadcast(_fetched(_shortened(nodes, 1)))
+    context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    costs = nodes.repartition(-(-n // PART_NODES), context).mapInArrow(_node_costs(order, below), "node long, cost double")
+    chunked = cut(own.mapInArrow(_chunks, "chunk long, doc_id long, text string"))
+    found = chunked.select("chunk", "text").mapInArrow(_asked(order), "chunk long, node long").join(costs, "node")
+    return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_score_chunk(order), "doc_id long, n_bytes long, bits double, bits_per_byte double")
+
+
+def code_lengths(docs: DataFrame, order: int = ORDER, max_nodes: int | None = None, max_broadcast: int = MAX_NODES) -> DataFrame:
+    """(doc_id, n_bytes, bits, bits_per_byte) for each row; ``max_nodes`` asks for shorter contexts where there are more nodes."""
     spark = docs.sparkSession
     prepare(spark)
     nodes = cut(counts(docs, order))
-    while order > 2 and nodes.count() > max_nodes:
-        nodes = cut(nodes.groupBy((F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    n = nodes.count()
+    while max_nodes is not None and order > 2 and n > max_nodes:
         order -= 1
-    found = nodes.toArrow().combine_chunks().sort_by("key")
-    key = found.column("key").to_numpy()
-    tries = [Trie(key, found.column(f"n{h}").to_numpy(), order) for h in (0, 1)]
-    shared = spark.sparkContext.broadcast((order, tries))
+        nodes = cut(_shortened(nodes, order))
+        n = nodes.count()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if order >= 2 and n > max_broadcast:
+        return _by_shuffle(own, nodes, n, order)
+    key, *halved = _fetched(nodes)
+    tries = [Trie(key, x, order) for x in halved]
+    shared = spark.sparkContext.broadcast((order, tries))
     return own.mapInArrow(_score(shared), "doc_id long, n_bytes long, bits double, bits_per_byte double")

@@ -151,6 +151,20 @@ def test_ppm_shortens_contexts_that_do_not_fit(docs, none):
     assert rows(ppm.code_lengths(none)) == []
 
 
+@pytest.mark.parametrize("order", [2, 4])
+def test_ppm_keeps_its_order_where_the_trie_is_too_large_to_send(docs, order, monkeypatch):
+    want = sorted(map(str, rows(ppm.code_lengths(docs, order=order))))
+    monkeypatch.setattr(ppm, "PART_NODES", 5_000)
+    assert sorted(map(str, rows(ppm.code_lengths(docs, order=order, max_broadcast=0)))) == want
+
+
+def test_ppm_query_has_no_limit_that_shortens_contexts(docs, monkeypatch):
+    want = sorted(map(str, rows(ppm.code_lengths(docs))))
+    monkeypatch.setattr(ppm, "MAX_NODES", 1)
+    monkeypatch.setattr(ppm.code_lengths, "__defaults__", tuple(1 if d == 6_000_000 else d for d in ppm.code_lengths.__defaults__))
+    assert sorted(map(str, rows(ppm.code_lengths(docs)))) == want
+
+
 # 3. repetition
 
 
