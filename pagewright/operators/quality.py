@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.operators.elements import squash
 
@@ -39,30 +43,115 @@ def document_rollup(elements: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_elements"), low.alias("low_pages"))
 
 
-def verify_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
-    """Checks of rules (doc_pattern, page_no, kind, value) on page facts: (doc_id, page_no, kind, value, ok).
+RULE_KINDS = (
+    "min_elements", "max_elements", "allow_low_confidence", "max_low_confidence_elements", "required_text", "forbidden_text",
+    "required_regex", "forbidden_regex", "required_type", "required_sources", "required_issues", "forbidden_issues", "table",
+)
+
+
+def _plain(text: str | None) -> str:
+    return " ".join(re.sub(r"<[^>]+>", " ", text or "").split())
+
+
+def _whole(value: str | None) -> int | None:
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return None
+
 
-    A pattern beginning ``regex:`` is searched for in the document's name; another must equal it.
-    Kinds: required_text, forbidden_text, min_elements, required_type (type=least count).
+def _table_ok(elements: list, rule: dict) -> bool:
+    """Whether the first table (or that of ``index``) with the caption and content asked for has what the rule asks."""
+    from pagewright.functions import grid
+
+    found = [e for e in elements if e["type"] == "table" and e["content"]]
+    for key, where in (("caption_contains", "caption"), ("content_contains", "content")):
+        if rule.get(key):
+            found = [e for e in found if _plain(rule[key]) in _plain(e[where])]
+    at = int(rule.get("index", 0))
+    if not found or at >= len(found):
+        return False
+    n_rows, n_cols, sure, issues = grid.assess(found[at]["content"])
+    issues = {*issues, *(found[at]["issues"] or [])}
+    return (
+        n_rows >= int(rule.get("min_rows", 0))
+        and n_cols >= int(rule.get("min_cols", 0))
+        and sure >= float(rule.get("min_confidence", 0))
+        and issues.issuperset(rule.get("required_issues") or [])
+        and issues.isdisjoint(rule.get("forbidden_issues") or [])
+    )
+
+
+def _pages(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_no, elements): each page's elements, null in columns that they do not have."""
+    kinds = {"type": "string", "content": "string", "caption": "string", "description": "string", "source": "string", "confidence": "double", "issues": "array<string>"}
+    fields = [F.col("pos"), *[(F.col(c) if c in elements.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]]
+    return elements.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct(*fields)).alias("elements"))
+
+
+@F.udf(T.ArrayType(T.BooleanType()))
+def _verified(rules: list, elements: list | None, page_low: bool | None) -> list[bool]:
+    if elements is None:
+        return [False] * len(rules)
+    elements = sorted(elements, key=lambda e: e["pos"])
+    text = "\n".join(_plain(e[c]) for e in elements for c in ("content", "caption", "description") if e[c])
+    flat, n = _plain(text), len(elements)
+    low = sum(e["confidence"] is not None and e["confidence"] < LOW for e in elements)
+    sources, issues = {e["source"] for e in elements if e["source"]}, {i for e in elements for i in e["issues"] or []}
+
+    def ok(kind: str, value: str) -> bool:
+        most = _whole(value)
+        if kind == "min_elements":
+            return most is not None and n >= most
+        if kind == "max_elements":
+            return most is not None and n <= most
+        if kind == "allow_low_confidence":
+            return value.strip().lower() != "false" or (low == 0 and not page_low)
+        if kind == "max_low_confidence_elements":
+            return most is not None and low <= most
+        if kind in ("required_text", "forbidden_text"):
+            return (_plain(value) in flat) == (kind == "required_text")
+        if kind in ("required_regex", "forbidden_regex"):
+            return bool(re.search(value, text, re.MULTILINE)) == (kind == "required_regex")
+        if kind == "required_type":
+            name, _, least = value.partition("=")
+            return _whole(least) is not None and sum((e["type"] or "unknown") == name for e in elements) >= int(least)
+        if kind == "required_sources":
+            return value in sources
+        if kind in ("required_issues", "forbidden_issues"):
+            return (value in issues) == (kind == "required_issues")
+        return _table_ok(elements, json.loads(value))
+
+    return [ok(r["kind"], r["value"]) for r in rules]
+
+
+def verify_rules(elements: DataFrame, rules: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Checks of rules (doc_pattern, page_no, kind, value) on pages: (doc_id, page_no, kind, value, ok).
+
+    A pattern beginning ``regex:`` is searched for in the document's name; another must equal it. A rule that matches
+    no document fails with a null doc_id, and every rule of a page that is not there fails. Kinds: RULE_KINDS, each
+    value one text, expression, name or number; required_type has type=least count, allow_low_confidence false, and
+    table a JSON object of caption_contains, content_contains, index, min_rows, min_cols, min_confidence,
+    required_issues and forbidden_issues. Another kind is an error. source, confidence, issues and description are
+    used where elements have them; ``pages`` (doc_id, page_no, low_confidence) adds marks of pages and pages without elements.
     """
-    docs = elements.select(F.col("doc_id").cast("string").alias("name"), "doc_id").distinct()
+    docs = elements.select("doc_id").union(pages.select("doc_id")) if pages is not None else elements.select("doc_id")
+    docs = docs.distinct().select(F.col("doc_id").cast("string").alias("name"), "doc_id")
     pattern = F.col("doc_pattern")
     match = F.when(pattern.startswith("regex:"), F.regexp_like("name", F.substring(pattern, 7, 1 << 20))).otherwise(pattern == F.col("name"))
-    wanted = rules.join(docs, match).select("doc_id", "page_no", "kind", "value")
-    facts = elements.groupBy("doc_id", "page_no").agg(
-        squash(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), " ")).alias("text"),
-        F.count("*").alias("n"),
-        F.collect_list("type").alias("types"),
-    )
-    kind, value, name = F.col("kind"), F.col("value"), F.split_part("value", F.lit("="), F.lit(1))
-    has = F.contains(F.coalesce("text", F.lit("")), squash("value"))
-    ok = (
-        F.when(kind == "required_text", has)
-        .when(kind == "forbidden_text", ~has)
-        .when(kind == "min_elements", F.coalesce("n", F.lit(0)) >= F.try_to_number(value, F.lit("999999")).cast("int"))
-        .when(kind == "required_type", F.coalesce(F.size(F.filter("types", lambda t: t == name)), F.lit(0)) >= F.try_to_number(F.split_part("value", F.lit("="), F.lit(2)), F.lit("999999")).cast("int"))
-    )
-    return wanted.join(facts, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "kind", "value", F.coalesce(ok, F.lit(False)).alias("ok"))
+    kind = F.when(F.col("kind").isin(*RULE_KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("no such kind of rule: "), F.coalesce("kind", F.lit("null")))))
+    matched = docs.join(F.broadcast(rules), match).select("doc_id", *rules.columns)
+    unmatched = rules.join(matched.select("doc_pattern").distinct(), "doc_pattern", "left_anti").select(F.lit(None).cast(elements.schema["doc_id"].dataType).alias("doc_id"), *rules.columns)
+    wanted = matched.union(unmatched).groupBy("doc_id", "page_no").agg(F.collect_list(F.struct(kind.alias("kind"), F.coalesce("value", F.lit("")).alias("value"))).alias("rules"))
+    facts = _pages(elements.join(wanted.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi"))
+    if pages is None:
+        facts = facts.withColumn("low", F.lit(False))
+    else:
+        marks = pages.groupBy("doc_id", "page_no").agg(F.bool_or("low_confidence").alias("low"))
+        empty = F.array().cast(facts.schema["elements"].dataType)
+        facts = facts.join(marks, ["doc_id", "page_no"], "full").withColumn("elements", F.coalesce("elements", empty))
+    checked = wanted.join(facts, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.explode(F.arrays_zip("rules", _verified("rules", "elements", "low").alias("ok"))).alias("r"))
+    return checked.select("doc_id", "page_no", "r.rules.kind", "r.rules.value", "r.ok")
 
 
 def audit(elements: DataFrame) -> DataFrame:
