@@ -153,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "golden_rules": golden_rules,
     "golden_rules_all": golden_rules_all,
     "audit_findings": lambda s, d: quality.audit(marked(s, d)),
+    "audit_pages": lambda s, d: quality.audit_pages(marked(s, d)),
     "source_support_count": support,
     "verdict_summary": verdicts,
     "multiset_conservation": conservation,
