@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -47,40 +45,57 @@ def as_table(rows: list[Node]) -> str:
 def align(mine: list[str], theirs: list[str]) -> list[tuple[int, int]]:
     """Pairs of equal keys in order: most of them, then fewest gaps, then the shortest stretch."""
 
-    def worth(pairs: tuple) -> tuple[int, int, int]:
-        if not pairs:
-            return 0, 0, 0
-        reach = pairs[-1][1] - pairs[0][1] + 1
-        return len(pairs), len(pairs) - reach, -reach
-
-    @lru_cache(maxsize=None)
-    def best(i: int, j: int) -> tuple:
-        if i >= len(mine) or j >= len(theirs):
-            return ()
-        options = [best(i + 1, j), best(i, j + 1)]
-        if mine[i] == theirs[j]:
-            options.append(((i, j), *best(i + 1, j + 1)))
-        return max(options, key=worth)
-
-    return list(best(0, 0))
+    # A state is (number of pairs, first and last place in theirs, chain of pairs); rows of states from the end.
+    def worth(s: tuple) -> tuple[int, int, int]:
+        reach = s[2] - s[1] + 1 if s[0] else 0
+        return s[0], s[0] - reach, -reach
+
+    none = (0, 0, 0, None)
+    below = [none] * (len(theirs) + 1)
+    for i in range(len(mine) - 1, -1, -1):
+        row = [none] * (len(theirs) + 1)
+        for j in range(len(theirs) - 1, -1, -1):
+            best = below[j]
+            if row[j + 1] is not best and worth(row[j + 1]) > worth(best):
+                best = row[j + 1]
+            if mine[i] == theirs[j]:
+                n, _, last, chain = below[j + 1]
+                new = (n + 1, j, last if n else j, ((i, j), chain))
+                best = new if worth(new) > worth(best) else best
+            row[j] = best
+        below = row
+    out, chain = [], below[0][3]
+    while chain:
+        out.append(chain[0])
+        chain = chain[1]
+    return out
 
 
 def slice_to_fragment(native: str, fragment: str) -> str | None:
-    """The stretch of the native table that a page's fragment shows, with its header; None if too little agrees."""
-    head, body = parts_of(native)
-    keys = [k for k in map(row_key, parts_of(fragment)[1]) if k]
+    """The stretch of the native table that a page's fragment shows, with its header; None if too little agrees.
+
+    Rows at the fragment's ends that have no key and whose text the stretch lacks are kept.
+    """
+    (head, body), own = parts_of(native), parts_of(fragment)[1]
+    keyed = [(i, k) for i, k in enumerate(map(row_key, own)) if k]
     theirs = [row_key(r) for r in body]
-    if not keys or not theirs or len(keys) * len(theirs) > 200_000:
+    if not keyed or not theirs:
         return None
-    pairs = align(keys, theirs)
-    need = max(2, (len(keys) + 1) // 2)
-    if len(pairs) < need:
+    pairs = align([k for _, k in keyed], theirs)
+    if len(pairs) < max(2, (len(keyed) + 1) // 2):
         return None
     lo, hi = pairs[0][1], pairs[-1][1]
-    if hi - lo + 1 > max(len(keys) + 2, int(1.5 * len(keys))):
+    if hi - lo + 1 > max(len(pairs) + 2, int(1.5 * len(pairs))):
         return None
-    chosen = [r for g in groups_of(body) if any(body.index(r) in range(lo, hi + 1) for r in g) for r in g]
-    return as_table([*head, *chosen])
+    chosen, at = [], 0
+    for group in groups_of(body):
+        if at <= hi and at + len(group) > lo:
+            chosen += group
+        at += len(group)
+    said = cell_key(" ".join(r.text() for r in chosen))
+    beyond = lambda rows: [r for r in rows if (t := cell_key(r.text())) and not row_key(r) and t not in said]
+    first, last = keyed[pairs[0][0]][0], keyed[pairs[-1][0]][0]
+    return as_table([*head, *beyond(own[:first]), *chosen, *beyond(own[last + 1 :])])
 
 
 def supported_rows(rows: list[Node], source: str) -> list[int]:

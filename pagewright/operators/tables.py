@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import grid
+from pagewright.operators import native
 
 WHERE = ("doc_id", "page_no", "pos")
 _FACTS = T.StructType([T.StructField("n_rows", T.IntegerType()), T.StructField("n_cols", T.IntegerType()), T.StructField("confidence", T.DoubleType()), T.StructField("issues", T.StringType())])
@@ -70,9 +71,49 @@ def native_match(elements: DataFrame, natives: DataFrame, least: float = 0.6) ->
     return scored.withColumn("__r", best).where((F.col("__r") == 1) & (F.col("score") >= least)).select(*WHERE, "idx", "score")
 
 
-def substitute_natives(elements: DataFrame, natives: DataFrame, least: float = 0.6) -> DataFrame:
-    """The elements, tables that have a native match taking its HTML; flagged by native."""
-    found = native_match(elements, natives, least).join(natives.select("doc_id", "idx", "html"), ["doc_id", "idx"]).select(*WHERE, "html")
+@F.pandas_udf(T.StringType())
+def _resolved(mine: pd.Series, best: pd.Series, others: pd.Series, text: pd.Series, paged: pd.Series) -> pd.Series:
+    """The native HTML for a table, cut to what it and its page show; None to keep the table."""
+
+    def one(html: str, best: str | None, others: list | None, text: str | None, paged: bool) -> str | None:
+        table = grid.first_table(html)
+        if table is None or next(table.walk("table"), None) is not None:
+            return None
+        cells = len(grid.cell_keys(html))
+        if cells < 4:
+            return None
+        sliced = best is not None and len(grid.cell_keys(best)) > 1.5 * cells
+        found = grid.ordered_match(html, list(others) if others is not None else []) if best is None else native.slice_to_fragment(best, html) if sliced else best
+        if not found or not paged:
+            return found
+        cut = native.slice_to_source(found, text or "")
+        return cut if not (sliced or cut != found) or native.grounded(cut, text or "") else None
+
+    return pd.Series([one(*x) for x in zip(mine, best, others, text, paged)], dtype=object)
+
+
+@F.pandas_udf(T.IntegerType())
+def _ordered_length(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: len(grid.ordered_text(x))).astype("int32")
+
+
+def substitute_natives(elements: DataFrame, natives: DataFrame, least: float = 0.6, texts: DataFrame | None = None) -> DataFrame:
+    """The elements, tables that have a native match taking its HTML; flagged by native.
+
+    A native table of more than 1.5 times the table's cells is cut to the rows that the table shows; without a match of
+    ``least`` the one whose text is nearly the same is taken. With ``texts`` (doc_id, page_no, text) a native table is
+    further cut to its page's text, which must bear out what was cut. A table that holds tables, or whose cut fails, stays.
+    """
+    tables = elements.where("type = 'table'").select(*WHERE, F.col("content").alias("mine"))
+    best = native_match(elements, natives, least).join(natives.select("doc_id", "idx", F.col("html").alias("best")), ["doc_id", "idx"]).select(*WHERE, "best")
+    # Pairs for the ordered match: only of one document and of nearly equal length.
+    lone = tables.join(best, list(WHERE), "left_anti").select(*WHERE, _ordered_length("mine").alias("a")).where("a >= 80")
+    theirs = natives.where(F.size(cell_keys("html")) >= 2).select("doc_id", "idx", "html", _ordered_length("html").alias("b"))
+    near = lone.join(theirs, "doc_id").where(F.least("a", "b") >= 0.9 * F.greatest("a", "b"))
+    others = near.groupBy(*WHERE).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "html"))), lambda x: x["html"]).alias("others"))
+    found = tables.join(best, list(WHERE), "left").join(others, list(WHERE), "left")
+    found = found.join(texts.groupBy("doc_id", "page_no").agg(F.max("text").alias("text")), ["doc_id", "page_no"], "left") if texts is not None else found.withColumn("text", F.lit(None).cast("string"))
+    found = found.select(*WHERE, _resolved("mine", "best", "others", "text", F.lit(texts is not None)).alias("html")).where("html IS NOT NULL")
     out = elements.join(found, list(WHERE), "left")
     return out.withColumn("content", F.coalesce("html", "content")).withColumn("native", F.col("html").isNotNull()).select(*elements.columns, "native")
 

@@ -116,6 +116,15 @@ def native_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.native_match(e, natives).select("doc_id", "page_no", "pos", "idx", F.bround("score", 4).alias("score"))
 
 
+def native_substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered tables against one native table a document that holds the rows of all its pages."""
+    e = rendered.elements(spark, sf_dir)
+    body = F.regexp_replace("content", "^<table><tr>.*?</tr>|</table>$", "")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", body.alias("rows")))), lambda x: x["rows"]), "")
+    natives = e.where("type = 'table'").groupBy("doc_id").agg(F.concat(F.lit("<table><tr><td>key</td><td>cents</td></tr>"), whole, F.lit("</table>")).alias("html")).withColumn("idx", F.lit(0))
+    return tables.substitute_natives(e, natives).where("type = 'table'").select("doc_id", "page_no", "pos", "content", "native")
+
+
 def reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered pages against themselves with each text moved to the next text's place."""
     e = rendered.elements(spark, sf_dir)
@@ -161,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "xml_pages": shown(elements.xml),
     "table_facts": shown(tables.facts),
     "native_match": native_match,
+    "native_substituted": native_substituted,
     "layout_reassigned": reassigned,
     "prose_near_tables": lambda s, d: evidence.drop_prose_near_tables(rendered.elements(s, d)).select("doc_id", "page_no", "pos", "type", "content"),
     "carry_forward": carried,
