@@ -7,17 +7,22 @@ on how long its documents are, beyond its longest single document.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+#: Longest word that is hashed with all others at once.
+LONG_SPAN = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MASK = (1 << 64) - 1
 #: Word bytes are ASCII letters (lowered), digits and all of a multi-byte character; any other byte separates words.
@@ -43,14 +48,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a local session gets one of its own, removed at its end; a cluster, whose machines could not read it, an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder; a folder of its own only where the session names none."""
+    """The same rows, read from the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def free(taken: Iterable[str], name: str) -> str:
+    """The name, or one like it that none of those taken is, in any letter case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; a null row is an empty one."""
     if isinstance(array, pa.ChunkedArray):
@@ -124,10 +155,28 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     after[:-1] = inside[1:]
     after[off[1:][off[1:] > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    total, (_, down) = prefix_hash(low), powers(len(raw) + 1)
+    return span_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, off)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span: eight at a time, each step mixed; spans of more than LONG_SPAN bytes by xxHash."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    some = np.flatnonzero(size <= LONG_SPAN)
+    at, left = starts[some], size[some]
+    eight = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,)) if len(data) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        hashes = mix((total[ends] - total[starts]) * down[starts])
-    return hashes, starts, ends, np.searchsorted(starts, off)
+        while len(some):
+            piece = eight[at]
+            short = left < 8
+            piece[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            out[some] = mix(out[some] * np.uint64(0xD6E8FEB86659FD93) + piece)
+            more = left > 8
+            some, at, left = some[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
