@@ -14,7 +14,9 @@ The labelled strings are made here, seeded, by format; a team would pass its own
 Defined results: a null or empty text has no candidates; a candidate of any length
 is scored as a whole; places are bytes of the UTF-8 text; full stops, dashes and
 slashes at either end of a run do not belong to it; documents without secrets have
-no rows; repeated rows give repeated findings.
+no rows; repeated rows give repeated findings; of kinds that score alike the first
+by name is given; texts of any length are read whole; columns besides doc_id and
+text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ MIN_LENGTH = 16
 ALPHA = 0.05
 FAINT = 0.02
 SYMBOLS = 96  # printable ASCII, and any other byte
+#: Cost of each symbol, and of the end, once a string has left its automaton.
+FLAT = -math.log(SYMBOLS + 1)
+#: Longer strings are walked one at a time.
+LONG = 4096
 LABELLED = 300
 MIN_PRECISION = 0.99
 SEED = 5
@@ -183,7 +189,7 @@ class Automata:
             sink = len(step)
             self.first.append(at[0])
             step.append(np.full(SYMBOLS, sink))
-            cost.append(np.full(SYMBOLS + 1, -math.log(SYMBOLS + 1)))
+            cost.append(np.full(SYMBOLS + 1, FLAT))
             for q in states:
                 to, p = np.full(SYMBOLS, sink), np.full(SYMBOLS + 1, FAINT)
                 for c, n in learner.count[q].items():
@@ -193,22 +199,52 @@ class Automata:
                 step.append(to)
                 cost.append(np.log(p / p.sum()))
         self.step, self.cost, self.first = np.array(step, np.int32), np.array(cost), np.array(self.first, np.int32)
+        self.sink = (self.step == np.arange(len(self.step))[:, None]).all(1) & (self.cost == FLAT).all(1)
         self.threshold = 0.0
 
     def loglik(self, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each string (bounded by off) in each automaton."""
+        """Log-likelihood of each string (bounded by off) in each automaton; every symbol read in a sink costs the same, so these are counted."""
         size = np.diff(off)
         out = np.empty((len(size), len(self.kinds)))
-        order = np.argsort(-size, kind="stable")
-        state, total = np.tile(self.first, (len(size), 1)), np.zeros((len(size), len(self.kinds)))
+        long_ = np.flatnonzero(size > LONG)
+        for i in long_:
+            out[i] = self._walk(symbols[off[i] : off[i + 1]])
+        order = np.argsort(-size, kind="stable")[len(long_) :]
+        state, total, lost = (np.zeros((len(order), len(self.kinds)), kind) for kind in (np.int32, np.float64, np.int64))
+        state += self.first
         begin, size = off[:-1][order], size[order]
-        live = len(size)
         for t in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -t, "left"))
+            if t % 64 == 63 and self.sink[state[:live]].all():
+                lost[:live] += (size[:live] - t)[:, None]
+                break
             c = symbols[begin[:live] + t][:, None]
-            total[:live] += self.cost[state[:live], c]
+            sunk = self.sink[state[:live]]
+            total[:live] += np.where(sunk, 0.0, self.cost[state[:live], c])
+            lost[:live] += sunk
             state[:live] = self.step[state[:live], c]
-        out[order] = total + self.cost[state, SYMBOLS]
+        out[order] = total + lost * FLAT + self.cost[state, SYMBOLS]
+        return out
+
+    def _walk(self, symbols: np.ndarray) -> list[float]:
+        """The same for one long string, an automaton at a time, each until its sink."""
+        out = []
+        for first in self.first.tolist():
+            rows: dict[int, tuple[list, list]] = {}
+            state, total, at = first, 0.0, 0
+            for lo in range(0, len(symbols), 1 << 16):
+                if self.sink[state]:
+                    break
+                for c in symbols[lo : lo + (1 << 16)].tolist():
+                    row = rows.get(state)
+                    if row is None:
+                        if self.sink[state]:
+                            break
+                        row = rows[state] = (self.cost[state].tolist(), self.step[state].tolist())
+                    total += row[0][c]
+                    state = row[1][c]
+                    at += 1
+            out.append(total + (len(symbols) - at) * FLAT + float(self.cost[state, SYMBOLS]))
         return out
 
     def scores(self, symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
