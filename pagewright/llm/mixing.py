@@ -33,7 +33,7 @@ SHARE = 0.5
 EPOCHS = 2
 SEED = "mix-1"
 RANGES = 4096
-MAX_BROADCAST_LEAVES = 50_000
+MAX_BROADCAST_BYTES = 8 << 20
 NONE = "\x00none"
 #: Whole numbers; a name that is missing here has the weight DEFAULT_WEIGHT.
 WEIGHTS: Mapping[str, Mapping[str, int]] = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}, "source": {}}
@@ -94,20 +94,20 @@ def _range(place: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, domain: Column | None = None) -> DataFrame:
-    """The chosen rows with all their columns, and __domain, __tokens and __epoch (from 0; a row of each epoch that takes it).
+    """(row, domain, tokens, epoch): the chosen rows, each whole in a struct, once for each epoch (from 0) that takes it.
 
     ``share`` of all tokens are handed out. The tree's leaves are few (domains x
-    languages x sources); their table is broadcast up to MAX_BROADCAST_LEAVES and
+    languages x sources); their table is broadcast up to MAX_BROADCAST_BYTES and
     joined by shuffling beyond.
     """
     spark = docs.sparkSession
     prepare(spark)
     blank = lambda c: F.coalesce(c, F.lit(NONE))
-    known = docs.withColumns({"__domain": blank(default_domain() if domain is None else domain), "__lang": blank(F.col("lang")), "__source": blank(F.col("source")), "__tokens": token_count()})
-    leaf = ["__domain", "__lang", "__source"]
+    known = docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").alias("id"), blank(default_domain() if domain is None else domain).alias("domain"), blank(F.col("lang")).alias("lang"), blank(F.col("source")).alias("source"), token_count().alias("tokens"))
+    leaf = ["domain", "lang", "source"]
     # Sums for every epoch's order at once: each row falls in one range of each.
-    orders = [F.struct(F.lit(e).alias("e"), _range(_place(seed, F.lit(e), F.col("doc_id"))).alias("r")) for e in range(epochs)]
-    sums = cut(known.select(*leaf, "__tokens", F.explode(F.array(*orders)).alias("at")).groupBy(*leaf, F.col("at.e").alias("e"), F.col("at.r").alias("r")).agg(F.sum("__tokens").alias("n")))
+    orders = [F.struct(F.lit(e).alias("e"), _range(_place(seed, F.lit(e), F.col("id"))).alias("r")) for e in range(epochs)]
+    sums = cut(known.select(*leaf, "tokens", F.explode(F.array(*orders)).alias("at")).groupBy(*leaf, F.col("at.e").alias("e"), F.col("at.r").alias("r")).agg(F.sum("tokens").alias("n")))
     by_leaf = sums.where("e = 0").groupBy(*leaf).agg(F.sum("n").alias("n")).collect()
     size = {tuple(r[c] for c in leaf): r["n"] for r in by_leaf}
     goal = budgets(size, int(sum(size.values()) * share), weights, epochs)
@@ -115,38 +115,38 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str =
     for key, n in size.items():
         full = min(goal[key] // n, epochs) if n else 0
         plan.append((*key, int(full), int(goal[key] - full * n)))
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in leaf], T.StructField("__full", T.IntegerType()), T.StructField("__rest", T.LongType())])
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in leaf], T.StructField("full", T.IntegerType()), T.StructField("rest", T.LongType())])
     goals = spark.createDataFrame(plan, schema)
-    near = F.broadcast if len(plan) <= MAX_BROADCAST_LEAVES else (lambda x: x)
+    near = F.broadcast if sum(64 + sum(len(x.encode()) for x in p[:3]) for p in plan) <= MAX_BROADCAST_BYTES else (lambda x: x)
     # The range in which each leaf's last epoch ends: tokens before it, and its number.
     before = Window.partitionBy(*leaf).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.join(goals, leaf).where("e = __full").withColumn("b", F.coalesce(F.sum("n").over(before), F.lit(0))).where("b < __rest")
+    ends = sums.join(goals, leaf).where("e = full").withColumn("b", F.coalesce(F.sum("n").over(before), F.lit(0))).where("b < rest")
     ends = ends.groupBy(*leaf).agg(F.max_by(F.struct("r", "b"), "r").alias("end"))
-    limits = goals.join(ends, leaf, "left").select(*leaf, "__full", "__rest", F.coalesce("end.r", F.lit(-1)).alias("__end"), F.coalesce("end.b", F.lit(0)).cast("long").alias("__before"))
-    placed = known.join(near(limits), leaf).withColumn("__place", _place(seed, F.col("__full"), F.col("doc_id"))).withColumn("__range", _range(F.col("__place")))
-    inner = placed.where("__range = __end").select("doc_id", *leaf, "__place", "__tokens", "__before", "__rest", F.xxhash64("text").alias("__text"))
-    run = Window.partitionBy(*leaf).orderBy("__place", F.col("doc_id"), "__text").rowsBetween(Window.unboundedPreceding, -1)
-    taken = inner.withColumn("__sum", F.col("__before") + F.coalesce(F.sum("__tokens").over(run), F.lit(0))).where("__sum < __rest")
-    taken = taken.groupBy(*[F.col(c).alias(f"{c}2") for c in leaf], F.col("doc_id").alias("__id"), "__text").agg(F.count("*").alias("__copies"))
-    clear = placed.where("__range <> __end").withColumn("__n", F.col("__full") + (F.col("__range") < F.col("__end")).cast("int"))
-    same = Window.partitionBy(*leaf, "doc_id", "__hash").orderBy(F.lit(1))
-    edge = placed.where("__range = __end").withColumn("__hash", F.xxhash64("text")).withColumn("__k", F.row_number().over(same))
-    edge = edge.join(taken, [*[F.col(c) == F.col(f"{c}2") for c in leaf], F.col("doc_id").eqNullSafe(F.col("__id")), F.col("__hash") == F.col("__text")], "left")
-    edge = edge.withColumn("__n", F.col("__full") + (F.col("__k") <= F.coalesce("__copies", F.lit(0))).cast("int"))
-    names = [*docs.columns, "__domain", "__tokens", "__n"]
-    chosen = clear.select(*names).unionByName(edge.select(*names)).where("__n > 0")
-    return chosen.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumn("__domain", F.nullif(F.col("__domain"), F.lit(NONE))).drop("__n")
+    limits = goals.join(ends, leaf, "left").select(*leaf, "full", "rest", F.coalesce("end.r", F.lit(-1)).alias("last"), F.coalesce("end.b", F.lit(0)).cast("long").alias("before"))
+    placed = known.join(near(limits), leaf).withColumn("place", _place(seed, F.col("full"), F.col("id"))).withColumn("range", _range(F.col("place")))
+    inner = placed.where("range = last").select("id", *leaf, "place", "tokens", "before", "rest", F.xxhash64("row.text").alias("mark"))
+    run = Window.partitionBy(*leaf).orderBy("place", F.col("id"), "mark").rowsBetween(Window.unboundedPreceding, -1)
+    taken = inner.withColumn("sum", F.col("before") + F.coalesce(F.sum("tokens").over(run), F.lit(0))).where("sum < rest")
+    taken = taken.groupBy(*[F.col(c).alias(f"{c}2") for c in leaf], F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.count("*").alias("copies"))
+    clear = placed.where("range <> last").withColumn("n", F.col("full") + (F.col("range") < F.col("last")).cast("int"))
+    same = Window.partitionBy(*leaf, "id", "mark").orderBy(F.lit(1))
+    edge = placed.where("range = last").withColumn("mark", F.xxhash64("row.text")).withColumn("k", F.row_number().over(same))
+    edge = edge.join(taken, [*[F.col(c) == F.col(f"{c}2") for c in leaf], F.col("id").eqNullSafe(F.col("id2")), F.col("mark") == F.col("mark2")], "left")
+    edge = edge.withColumn("n", F.col("full") + (F.col("k") <= F.coalesce("copies", F.lit(0))).cast("int"))
+    names = ["row", "domain", "tokens", "n"]
+    chosen = clear.select(*names).unionByName(edge.select(*names)).where("n > 0")
+    return chosen.select("row", F.nullif(F.col("domain"), F.lit(NONE)).alias("domain"), "tokens", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, epoch) of each row chosen."""
     found = mix(docs.select("doc_id", "text", "lang", "source"), **options)
-    return found.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__tokens").alias("tokens"), F.col("__epoch").alias("epoch"))
+    return found.select("row.doc_id", "domain", "row.lang", "row.source", "tokens", "epoch")
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The chosen rows with the columns of ``docs``; once for each epoch that takes them."""
-    return mix(docs, **options).select(*docs.columns)
+    return mix(docs, **options).select("row.*")
 
 
 def _level(name: str, parents: list[str], weights: Mapping[str, int], room: str, out: str) -> str:
