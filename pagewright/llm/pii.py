@@ -12,24 +12,28 @@ model is a few kilobytes whatever the corpus.
 
 Defined results: a null text stays null and an empty one empty, both without spans;
 offsets count code points; every row is treated by itself, so repeated rows and
-null doc_ids get equal results. A card number needs its check digit, an address
-of four numbers needs each below 256.
+null doc_ids get equal results; texts of any length are read whole; columns besides
+doc_id and text are not read by redact, and redacted returns them as they were; an
+empty table gives no rows. A card number needs its check digit, an address of four
+numbers needs each below 256.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import pieces, prepare, text_buffers
+from pagewright.llm.common import free, pieces, prepare, text_buffers
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "IBAN", "SSN")
 GENERATORS = [
@@ -274,7 +278,8 @@ def model() -> tuple[Trees, dict[str, float]]:
         order = np.argsort(-p[own], kind="stable")
         right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
         ok = np.flatnonzero(right >= MIN_PRECISION)
-        limits[kind] = float(min(0.9, max(0.1, p[own][order][ok[-1]]))) if len(ok) else 0.9
+        # At least 0.1, which only makes it stricter; a kind that never gets precise enough is not redacted.
+        limits[kind] = float(max(0.1, p[own][order][ok[-1]])) if len(ok) else float("inf")
     return trees, limits
 
 
@@ -283,9 +288,10 @@ def choose(text: str, spans: list[tuple[int, int, str]], p: np.ndarray, limits:
     ranked = sorted(((-round(float(q), 6), lo - hi, lo, hi, kind) for (lo, hi, kind), q in zip(spans, p) if q >= limits[kind]))
     taken: list[tuple[int, int, str, float]] = []
     for q, _, lo, hi, kind in ranked:
-        if all(hi <= a or b <= lo for a, b, _, _ in taken):
-            taken.append((lo, hi, kind, -q))
-    return sorted(taken)
+        at = bisect_left(taken, (lo,))
+        if (at == 0 or taken[at - 1][1] <= lo) and (at == len(taken) or hi <= taken[at][0]):
+            taken.insert(at, (lo, hi, kind, -q))
+    return taken
 
 
 def find(texts: list[str], trees: Trees, limits: dict[str, float]) -> list[list[tuple[int, int, str, float]]]:
@@ -317,28 +323,30 @@ def _rows_with(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seen[off[1:]] > seen[off[:-1]])
 
 
-def _redact(trees: Trees, limits: dict[str, float], with_spans: bool):
+def _redact(trees: Trees, limits: dict[str, float], text: str, extra: str, with_spans: bool):
+    """The batch's columns, ``text`` redacted, and one more named ``extra``: the spans, or whether there are any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.schema.get_field_index("text")
+            column = batch.schema.get_field_index(text)
             raw, off = text_buffers(batch.column(column))
-            # Every generator needs an ASCII digit or an at sign, but for digits of other scripts.
-            some = np.concatenate([lo + _rows_with(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in pieces(off)] or [np.zeros(0, np.int64)])
-            texts = batch.column(column).to_pylist()
-            found = dict(zip(some.tolist(), find([texts[i] for i in some], trees, limits)))
-            for i, spans in found.items():
-                if spans:
-                    texts[i] = replace(texts[i], spans)
-            columns, names = list(batch.columns), list(batch.schema.names)
-            columns[column] = pa.array(texts, batch.schema.field(column).type)
-            if with_spans:
-                columns.append(pa.array([[{"begin": a, "end": b, "kind": k, "score": q} for a, b, k, q in found.get(i, [])] for i in range(len(texts))], _SPANS))
-                names.append("spans")
-            else:
-                changed = [bool(found.get(i)) for i in range(len(texts))]
-                columns.append(pa.array(changed))
-                names.append("__changed")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for lo, hi in pieces(off):
+                own = batch.slice(lo, hi - lo)
+                # Every generator needs an ASCII digit or an at sign, but for digits of other scripts.
+                some = _rows_with(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                texts = own.column(column).take(pa.array(some)).to_pylist()
+                spans = dict(zip(some.tolist(), find(texts, trees, limits)))
+                changed = np.zeros(hi - lo, bool)
+                changed[[i for i, x in spans.items() if x]] = True
+                columns = list(own.columns)
+                if changed.any():
+                    new = [replace(t, spans[i]) for i, t in zip(some.tolist(), texts) if spans[i]]
+                    columns[column] = pc.replace_with_mask(own.column(column), pa.array(changed), pa.array(new, own.column(column).type))
+                if with_spans:
+                    columns.append(pa.array([[{"begin": a, "end": b, "kind": k, "score": q} for a, b, k, q in spans.get(i, [])] for i in range(hi - lo)], _SPANS))
+                else:
+                    columns.append(pa.array(changed))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, extra])
 
     return run
 
@@ -347,17 +355,18 @@ _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind"
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans array<struct<begin,end,kind,score>>) for each row; spans are places in the text as it was."""
+    """(doc_id, redacted, spans array<struct<begin,end,kind,score>>) for each row; spans are places in the text as it was."""
     prepare(docs.sparkSession)
-    own = docs.select("doc_id", "text")
-    found = own.mapInArrow(_redact(*model(), True), T.StructType([*own.schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType())])))]))
-    return found.select("doc_id", F.col("text").alias("redacted"), "spans")
+    own = docs.select("doc_id", F.col("text").alias("redacted"))
+    span = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(_redact(*model(), "redacted", "spans", True), T.StructType([*own.schema.fields, T.StructField("spans", T.ArrayType(span))]))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows with all their columns, text redacted and n_chars, if there, counted again where the text changed."""
     prepare(docs.sparkSession)
-    found = docs.mapInArrow(_redact(*model(), False), T.StructType([*docs.schema.fields, T.StructField("__changed", T.BooleanType())]))
+    changed = free(docs.columns, "changed")
+    found = docs.mapInArrow(_redact(*model(), "text", changed, False), T.StructType([*docs.schema.fields, T.StructField(changed, T.BooleanType())]))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("__changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+        found = found.withColumn("n_chars", F.when(F.col(changed), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.drop(changed)
