@@ -11,7 +11,11 @@ Defined results: a null or empty text has no words and is scored on its structur
 and metadata; a null lang or source is a value of its own; a label given several
 times counts once, with its lowest quality; with no labels, or labels of one class
 only, every document gets the share of good labels (1.0 without any) and is kept.
-Repeated rows and null doc_ids are scored like any other row.
+Repeated rows and null doc_ids are scored like any other row; texts of any length
+are read whole; a score at the threshold is kept; columns besides doc_id, text, lang
+and source are not read, and keep_good returns them as they were; an empty table
+gives no rows. Where several documents carry one labelled doc_id, each is a row of
+the sample, which stays within ``max_labelled`` rows in all.
 """
 
 from __future__ import annotations
@@ -162,7 +166,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, (index, value, at) in _over(batch):
             at = pa.array(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("good").slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))], ["doc_id", "good", "at", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("good").slice(lo, hi - lo), batch.column("mark").slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))], ["doc_id", "good", "mark", "at", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_false_rejects: float = MAX_FALSE_REJECTS) -> Model:
@@ -171,8 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("good"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # The sample's bound makes it fit for broadcasting at any size of the corpus.
-    found = _rows(docs).join(F.broadcast(sample), "doc_id").mapInArrow(_labelled, "doc_id long, good int, at array<int>, x array<float>").toArrow()
-    found = found.combine_chunks().sort_by("doc_id").slice(0, max_labelled)
+    known = _rows(docs).join(F.broadcast(sample), "doc_id").withColumn("mark", F.xxhash64("text", "lang", "source"))
+    made = known.mapInArrow(_labelled, "doc_id long, good int, mark long, at array<int>, x array<float>")
+    found = made.orderBy("doc_id", "mark").limit(max_labelled).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("mark", "ascending")])
     if not found.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0))
     sizes = np.array(found.column("at").combine_chunks().value_lengths())
