@@ -481,28 +481,39 @@ def test_pii_rows(docs, none):
 # 9. nearest neighbours
 
 
-def test_knn_is_brute_force(spark):
+def brute_nearest(x: np.ndarray, every: int) -> list:
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    return sorted((i, int(j), k + 1) for i in range(0, len(x), every) for k, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:10]))
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_knn_is_brute_force(spark, every):
     r = np.random.default_rng(4)
     x = np.concatenate([r.normal(c, 0.2, (60, 5)) for c in (0, 3, 9)])
     x[7] = x[11] = x[100]
-    bad = [(900, None), (901, [float("nan")] * 5), (902, [1.0, None, 1.0, 1.0, 1.0]), (903, [1.0]), (904, []), (None, [0.0] * 5), (3, [float(v) for v in x[3]])]
-    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + bad, "vec_id long, embedding array<double>").withColumnRenamed("x", "y")
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    want = sorted((i, int(j), k + 1) for i in range(len(x)) for k, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:10]))
-    got = knn.nearest(df, group_rows=40)
-    assert sorted((a, b, c) for a, b, c, _ in rows(got)) == want
-    got = knn.nearest(df, group_rows=40, slab_rows=50)
-    assert sorted((a, b, c) for a, b, c, _ in rows(got)) == want
+    bad = [(900, None), (901, [float("nan")] * 5), (902, [1.0, None, 1.0, 1.0, 1.0]), (903, [1.0]), (904, []), (None, [0.0] * 5), (3, [float(v) for v in x[3]]), (906, [1e200] * 5)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + bad, "vec_id long, embedding array<double>").selectExpr("*", "vec_id AS cell", "'x' AS far", "1 AS `group`", "2 AS slab")
+    want = brute_nearest(x, every)
+    for options in ({}, {"group_rows": 40}, {"group_rows": 7}, {"group_rows": 40, "slab_rows": 20}, {"max_pivots": 1}):
+        assert sorted((a, b, c) for a, b, c, _ in rows(knn.nearest(df, every=every, **options))) == want
     assert rows(knn.nearest(df.limit(0))) == []
-    assert rows(knn.nearest(df.where("vec_id = 1"))) == []
-    assert len(rows(knn.nearest(df.where("vec_id < 4")))) == 12
+    assert rows(knn.nearest(df.where("vec_id = 1"), every=1)) == []
+    assert rows(knn.nearest(df.where("vec_id = 1"), every=2)) == []
+    assert len(rows(knn.nearest(df.where("vec_id < 4"), every=1))) == 12
+
+
+@pytest.mark.parametrize("scale", [1.0, 1000.0])
+def test_knn_of_near_copies_far_from_the_origin(spark, scale):
+    r = np.random.default_rng(5)
+    x = scale * (r.normal(0, 1, 6) + np.repeat(r.normal(0, 1, (4, 6)), 30, axis=0) + r.normal(0, 1e-8, (120, 6)))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    assert sorted((a, b, c) for a, b, c, _ in rows(knn.nearest(df, every=4, group_rows=10))) == brute_nearest(x, 4)
 
 
 def test_knn_bounds_leave_out_far_cells():
-    between = np.array([[0.0, 100.0], [100.0, 0.0]])
-    theta = knn.bounds(between, np.array([1.0, 1.0]), [np.linspace(0, 1, 12)] * 2, 10)
-    assert (theta < 3).all()
+    nearest = np.tile(np.linspace(0, 1, 11), (2, 1))
+    assert knn.bound(np.array([[0.5, 100.0]]), nearest, 10)[0] < 2
 
 
 # 10. quality classifier
