@@ -2,20 +2,28 @@
 
 One permutation spreads a document's word shingles over a domain of 2^20 places; a
 second one, shifted circularly by k, gives coordinate k of the signature, so all
-coordinates come from these two permutations. Documents that agree on all rows of
-a band are candidates. Candidates are gathered by connected component, and there
-exact Jaccard similarities of the shingle sets decide which belong together.
+coordinates come from these two permutations. Two texts are linked if they agree on
+all rows of some band and the exact Jaccard similarity of their shingle sets (of
+64-bit hashes) reaches the threshold. Every pair that shares a band is verified;
+groups are the connected components of the links.
 
-Exact copies are folded into one before banding, so a text with thousands of
-copies takes part once. Inside a component a document already joined to a group is
-not compared with that group's other members: the groups are the connected
-components of the pairs at or above the threshold, as if all had been compared.
+Exact copies are folded into one before banding, so a text with thousands of copies
+takes part once. Texts that chains of shared bands connect are brought to one task,
+each text sent once; there pairs are verified from the texts' own shingles, and only
+each text's number of links and its group go on, never pairs. Where such a chain
+holds more than ``part_texts`` texts or ``part_bytes`` bytes, its texts go instead to
+a task for each band value that they share, and a band value with more than that is
+cut into blocks, a task for each two blocks; a pair is verified where its first
+common band is. The links, and so the groups, are the same either way.
 
 Defined results: a null text, or one without words, is a group of its own unless
 other texts equal it byte for byte (nulls equal nothing); rows with the same doc_id
 and text count as one; several texts under one doc_id are separate documents, of
-which the group's lowest (doc_id, text key) is kept; a null doc_id sorts last.
-Columns besides doc_id and text do not matter.
+which the group's lowest (doc_id, text key) is kept; a null doc_id sorts last. Texts
+of any length are read whole; those with far more than 2^20 different shingles get
+much the same signature and are told apart by verification. Columns besides doc_id
+and text are not read; drop_near_duplicates returns them, and of rows equal in doc_id
+and text it keeps that with the least hash of all columns. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import cut, mix, pieces, prepare, ragged, text_buffers, word_hashes
@@ -35,6 +43,8 @@ WORDS = 3
 BANDS, ROWS = 50, 5
 THRESHOLD = 0.5
 SEED = 20240607
+#: What one task verifies at most.
+PART_TEXTS, PART_BYTES = 2000, 32 << 20
 
 
 @lru_cache(maxsize=2)
@@ -87,13 +97,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sign(bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = text_buffers(batch.column(2))
+            raw, off = text_buffers(batch.column(3))
             for lo, hi in pieces(off):
                 hashes, at = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 some = np.diff(at) > 0
                 keys = band_keys(signatures(hashes, at, bands * rows)[some], bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], ["doc_id", "text_key", "bands"])
+                size = pa.array(np.diff(off[lo : hi + 1]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in range(3)], size, lists], ["doc_id", "text_key", "node", "n_bytes", "bands"])
 
     return run
 
@@ -113,68 +124,135 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select(F.col("a").alias("node"), F.col("least").alias("component"))
 
 
-def _jaccard_groups(threshold: float, words: int):
+def shared_by(ids: list[np.ndarray], i: int, others: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many of the shingles of text i each other text has; ``seen`` is all false, and left so."""
+    seen[ids[i]] = True
+    size = np.array([len(ids[j]) for j in others])
+    hits = np.concatenate([[0], np.cumsum(seen[np.concatenate([ids[j] for j in others])])])
+    seen[ids[i]] = False
+    ends = np.cumsum(size)
+    return hits[ends] - hits[ends - size]
+
+
+def linked(ids: list[np.ndarray], bands: np.ndarray, block: np.ndarray, band: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each text and the least text it is connected to. With two blocks only pairs of both count, with a band only
+    pairs of which it is the first that both share."""
+    n, size = len(ids), np.array([len(x) for x in ids])
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    seen = np.zeros(1 + max((int(x.max()) for x in ids if len(x)), default=0), bool)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    two = len(np.unique(block)) > 1
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        if two:
+            j = j[block[j] != block[i]]
+        same = bands[j] == bands[i]
+        first = same.argmax(1)
+        ok = same[np.arange(len(j)), first]
+        if band is not None:
+            ok &= bands[i][first] == band
+        j = j[ok]
+        j = j[np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i])]
+        if not len(j):
+            continue
+        both = shared_by(ids, i, j, seen)
+        j = j[both >= threshold * (size[j] + size[i] - both)]
+        links[i] += len(j)
+        links[j] += 1
+        mine = top(i)
+        for x in np.unique(root[j]).tolist():
+            x = top(x)
+            if x != mine:
+                low, high = min(x, mine), max(x, mine)
+                root[high] = mine = low
+    return links, np.array([top(i) for i in range(n)], np.int64)
+
+
+def _verify(threshold: float, words: int):
+    """(text_key, root, links) of each text of a task that has a link there."""
+
     def run(table: pa.Table) -> pa.Table:
-        node = np.array(table.column("node").to_pylist(), object)
-        node, first = np.unique(node, return_index=True)
-        raw, off = text_buffers(table.column("text").take(pa.array(first)))
+        table = table.combine_chunks().sort_by("text_key")
+        raw, off = text_buffers(table.column("text"))
         sets = []
         for lo, hi in pieces(off):
             hashes, at = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
             sets += [np.unique(hashes[at[i] : at[i + 1]]) for i in range(hi - lo)]
-        groups: list[list[int]] = []
-        for i, mine in enumerate(sets):
-            near = []
-            for g in groups:
-                for j in g:
-                    n, m = len(mine), len(sets[j])
-                    if min(n, m) < threshold * max(n, m):
-                        continue
-                    both = len(np.intersect1d(mine, sets[j], assume_unique=True))
-                    if both >= threshold * (n + m - both):
-                        near.append(g)
-                        break
-            if not near:
-                groups.append([i])
-                continue
-            near[0].append(i)
-            for g in near[1:]:
-                near[0] += g
-                groups.remove(g)
-            groups.sort(key=lambda g: -len(g))
-        root = np.empty(len(node), object)
-        for g in groups:
-            root[g] = node[min(g)]
-        return pa.table({"node": pa.array(node, pa.binary()), "root": pa.array(root, pa.binary())})
+        ends = np.cumsum([len(x) for x in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sets), -1)
+        links, root = linked(np.split(ids, ends[:-1]), bands, table.column("block").to_numpy(), table.column("band")[0].as_py(), threshold)
+        some = np.flatnonzero(links)
+        key = table.column("text_key")
+        return pa.table([key.take(pa.array(some)), key.take(pa.array(root[some])), pa.array(links[some])], ["text_key", "root", "links"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_key, group_id, keep): a row for each document; group_id is the lowest doc_id of its group, whose row is kept.
+def _tasks(texts: DataFrame, parts: DataFrame, part_texts: int, part_bytes: int) -> tuple[DataFrame, bool]:
+    """(text_key, first_id, bands, tasks): to which tasks each candidate text goes, and whether any chain is too long for one."""
+    chained = cut(texts.join(parts, "node").select("text_key", "first_id", "n_bytes", "bands", "component"))
+    load = chained.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    large = (F.col("n") > part_texts) | (F.col("size") > part_bytes)
+    some = load.where(large).limit(1).count() > 0
+    task = lambda route, unit, blocks, block, band: F.struct(F.lit(route).alias("route"), unit.alias("unit"), blocks.cast("int").alias("blocks"), block.cast("int").alias("block"), band.cast("long").alias("band"))
+    if not some:
+        whole = task(0, F.col("component"), F.lit(1), F.lit(0), F.lit(None))
+        return chained.select("text_key", "first_id", "bands", F.array(whole).alias("tasks")), False
+    judged = chained.join(load.select("component", large.alias("large")), "component")
+    alone = judged.where("NOT large").select("text_key", "first_id", "bands", F.array(task(0, F.col("component"), F.lit(1), F.lit(0), F.lit(None))).alias("tasks"))
+    spread = judged.where("large").select("text_key", "n_bytes", F.explode("bands").alias("band"))
+    blocks = F.greatest(F.ceil(F.col("n") / part_texts), F.ceil(F.col("size") / part_bytes))
+    full = spread.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size")).where("n > 1").select("band", blocks.alias("blocks"))
+    block = F.pmod(F.xxhash64("text_key", F.lit(7)), F.col("blocks"))
+    dealt = spread.join(full, "band").groupBy("text_key").agg(F.collect_list(task(1, F.col("band"), F.col("blocks"), block, F.col("band"))).alias("tasks"))
+    return alone.unionByName(judged.where("large").select("text_key", "first_id", "bands").join(dealt, "text_key")), True
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, part_texts: int = PART_TEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, text_key, group_id, links, copies, keep): a row for each document. group_id is the lowest doc_id of its group,
+    whose row is kept; links is the number of other texts linked with this one, copies that of documents with the same text.
 
     The texts are shuffled once, to bring candidates together; else only keys move.
     """
     prepare(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.col("text"))
-    signed = cut(own.mapInArrow(_sign(bands, rows, words), "doc_id long, text_key binary, bands array<long>"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.xxhash64("text").alias("node"), F.col("text"))
+    signed = cut(own.mapInArrow(_sign(bands, rows, words), "doc_id long, text_key binary, node long, n_bytes long, bands array<long>"))
     copies = signed.select("doc_id", "text_key").distinct()
-    texts = signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    bands_of = texts.select("text_key", F.explode("bands").alias("band")).groupBy("band").agg(F.min("text_key").alias("a"), F.collect_set("text_key").alias("all"))
-    parts = components(bands_of.where("size(all) > 1").select("a", F.explode("all").alias("b")).where("a <> b"))
-    # Candidates' own texts: one row of each, found by key.
-    member = own.where("text_key IS NOT NULL").join(parts.withColumnRenamed("node", "text_key"), "text_key").select("component", F.col("text_key").alias("node"), "text")
-    roots = member.dropDuplicates(["node"]).groupBy("component").applyInArrow(_jaccard_groups(threshold, words), "node binary, root binary")
-    firsts = signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    rooted = cut(firsts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key")))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "text_key")).alias("best"))
-    groups = rooted.join(best, "root").select("text_key", F.col("best.first_id").alias("group_id"), (F.col("best.text_key") == F.col("text_key")).alias("first_text"))
-    found = copies.join(groups, "text_key", "left")
-    return found.select(
+    texts = cut(signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("node").alias("node"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")))
+    # Nodes of this graph are 64-bit hashes: two texts with one hash would only be verified together.
+    banded = texts.select("node", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most")
+    parts = components(banded.join(hubs.select("band", "a"), "band").where("a <> node").select("a", F.col("node").alias("b")))
+    tasks, some = _tasks(texts, parts, part_texts, part_bytes)
+    # One row of each text: that of its first doc_id, and of its repetitions any.
+    member = own.where("text_key IS NOT NULL").select("doc_id", "text_key", "text").join(tasks.withColumnRenamed("text_key", "key"), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    member = member.select("text_key", "text", "bands", "tasks").dropDuplicates(["text_key"]).withColumn("task", F.explode("tasks")).select("text_key", "text", "bands", "task.*")
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("route", "unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "text_key", "text", "bands")
+    found = cut(member.groupBy("route", "unit", "low", "high").applyInArrow(_verify(threshold, words), "text_key binary, root binary, links long"))
+    if some:
+        joined = components(found.select(F.col("text_key").alias("a"), F.col("root").alias("b")).where("a <> b")).select(F.col("node").alias("text_key"), F.col("component").alias("root"))
+        found = found.groupBy("text_key").agg(F.sum("links").alias("links")).join(joined, "text_key")
+    known = found.join(texts.select("text_key", "first_id"), "text_key")
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "text_key")).alias("best"))
+    groups = known.join(best, "root").select("text_key", "links", F.col("best.first_id").alias("best_id"), (F.col("best.text_key") == F.col("text_key")).alias("first_text"))
+    folded = copies.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    # Nulls equal nothing, so they take part in no join.
+    every = copies.join(folded, "text_key", "left").join(groups, "text_key", "left")
+    group_id = F.when(F.col("text_key").isNull(), F.col("doc_id")).when(F.col("first_text").isNull(), F.col("first_id")).otherwise(F.col("best_id"))
+    return every.select(
         "doc_id",
         "text_key",
-        F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-        F.when(F.col("text_key").isNull(), F.lit(True)).otherwise(F.col("first_text") & F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("keep"),
+        group_id.alias("group_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
+        (F.col("text_key").isNull() | (F.coalesce("first_text", F.lit(True)) & F.col("doc_id").eqNullSafe(group_id))).alias("keep"),
     )
 
 
@@ -185,8 +263,9 @@ def text_key(column: str):
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents, all their columns, of which one of each group of near duplicates stays."""
-    names = docs.columns
-    found = near_duplicates(docs, **options).where("keep").select(F.col("doc_id").alias("__id"), F.coalesce("text_key", F.lit(b"")).alias("__key"))
-    keyed = docs.withColumn("__key", F.coalesce(text_key("text"), F.lit(b"")))
-    left = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__key"] == found["__key"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "__key"]).select(*names)
+    found = near_duplicates(docs, **options).where("keep").select(F.col("doc_id").alias("kept_id"), F.coalesce("text_key", F.lit(b"")).alias("kept_key"))
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(text_key("text"), F.lit(b"")).alias("key"))
+    left = keyed.join(found, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.xxhash64(*plain)))
+    return left.withColumn("place", first).where("place = 1").select("row.*")
