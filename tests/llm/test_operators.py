@@ -372,16 +372,60 @@ def brute_groups(items: list) -> list:
     return list(out.values())
 
 
-def test_near_duplicates_are_brute_force(spark):
-    r, items = random.Random(8), []
-    for g in range(12):
+def brute_links(items: list) -> dict[int, tuple[int, int]]:
+    """Lowest id of the group and number of links of each (id, text), all texts different: pairs that share a band, by set arithmetic."""
+    sets, keys = [word_sets(t) for _, t in items], []
+    for _, t in items:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        hashes, at = dedup.shingles(raw, np.array([0, len(raw)]))
+        keys.append(set(dedup.band_keys(dedup.signatures(hashes, at, dedup.BANDS * dedup.ROWS), dedup.BANDS, dedup.ROWS)[0].tolist()) if sets[len(keys)] else set())
+    links, group = [0] * len(items), list(range(len(items)))
+    for i in range(len(items)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if keys[i] & keys[j] and both >= dedup.THRESHOLD * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (d, _), g in zip(items, group):
+        least[g] = min(d, least.get(g, d))
+    return {d: (least[g], n) for (d, _), g, n in zip(items, group, links)}
+
+
+def edited(groups: int, seed: int) -> list:
+    r, items = random.Random(seed), {}
+    for g in range(groups):
         base = prose(r.randint(3, 90), 100 + g).split()
         for _ in range(r.randint(1, 9)):
-            items.append((len(items), " ".join(w if r.random() > 0.03 else r.choice(WORDS) for w in base)))
-    found = {r["doc_id"]: r for r in dedup.near_duplicates(spark.createDataFrame(items, "doc_id long, text string")).collect()}
-    want = {i: min(g) for g in brute_groups(items) for i in g}
-    assert np.mean([found[i]["group_id"] == want[i] for i in want]) >= 0.95
-    assert all(found[i]["keep"] == (found[i]["group_id"] == i) for i in want)
+            items.setdefault(" ".join(w if r.random() > 0.03 else r.choice(WORDS) for w in base), len(items))
+    return [(d, t) for t, d in items.items()]
+
+
+def chain(n: int) -> list:
+    """Each text shares most of its words with the next, and none with distant ones: one giant component."""
+    words = prose(40 + 6 * n, 77).split()
+    return [(i, " ".join(words[6 * i : 6 * i + 40])) for i in range(n)]
+
+
+def hot(n: int) -> list:
+    """One long text with a word changed near its end in each: all agree on most bands."""
+    base = prose(200, 78).split()
+    return [(i, " ".join([*base[: 150 + i % 40], f"w{i}", *base[151 + i % 40 :]])) for i in range(n)]
+
+
+@pytest.mark.parametrize("items", [edited(12, 8) + [(1000 + d, t) for d, t in chain(24)] + [(2000 + d, t) for d, t in hot(24)]], ids=["mixed"])
+@pytest.mark.parametrize("limits", [{}, {"part_texts": 12}, {"part_bytes": 15_000}], ids=["whole", "texts", "bytes"])
+def test_near_duplicates_are_brute_force(spark, items, limits):
+    copies = [(len(items) + 10 + i, t) for i, (_, t) in enumerate(items[:7])]
+    found = {r["doc_id"]: r for r in dedup.near_duplicates(spark.createDataFrame(items + copies, "doc_id long, text string"), **limits).collect()}
+    want = brute_links(items)
+    assert {d: (found[d]["group_id"], found[d]["links"]) for d in want} == want
+    assert all(found[d]["keep"] == (found[d]["group_id"] == d) for d in found) and len(found) == len(items) + 7
+    assert all(found[d]["copies"] == (2 if i < 7 else 1) for i, (d, _) in enumerate(items))
+    assert all(found[d][1:4] == found[items[i][0]][1:4] for i, (d, _) in enumerate(copies))
+    assert max(n for _, n in want.values()) > 1
 
 
 def test_signature_is_circulant():
@@ -393,7 +437,7 @@ def test_signature_is_circulant():
 
 
 def test_near_duplicate_rows(docs, none):
-    found = rows(dedup.near_duplicates(docs).drop("text_key"))
+    found = [(r["doc_id"], r["group_id"], r["keep"]) for r in dedup.near_duplicates(docs).collect()]
     by = defaultdict(list)
     for d, g, k in found:
         by[d].append((g, k))
