@@ -1,16 +1,23 @@
 """BPE encoding through a table of distinct words, and decoding through a table of pieces.
 
-Spark splits texts into words with the vocabulary's own pattern. Each distinct word
-is encoded once; its row in the word table is found again by a 64-bit hash that is
-checked to be free of collisions, and ids are put back by position. Decoding joins
-ids to the bytes of their pieces.
-
-A word table of at most ``max_table_bytes``, measured before it is fetched, goes to
-every worker as three flat arrays, and documents are not moved. A larger one is
-joined by shuffling (document, position, word) rows.
+Spark splits texts into words with the vocabulary's own pattern. Rows are taken in
+chunks of about ``chunk_bytes``; a chunk's words are numbered, most frequent first, so
+that its rows are lists of small numbers. The chunks' distinct words are brought
+together by word, where each distinct word of the corpus is encoded once; the ids go
+back to the chunks that hold the word, and are put in their rows' places. Decoding
+joins ids to the bytes of their pieces, a table as large as the vocabulary. Nothing
+is broadcast and no text is moved: what is shuffled are the numbers and each chunk's
+distinct words, in proportion to the input at every size.
+
+The rows are read twice, for their words and for their numbers, so they must come in
+the same order both times, as from files. ``stable`` says that they do; otherwise they
+are written to the shared folder first. A chunk whose words differ between the two
+readings raises an error.
 
 Defined results: a null text gives null ids, an empty one gives no ids; repeated
-rows and null doc_ids are encoded row by row; every text decodes to itself.
+rows and null doc_ids are encoded row by row; every text decodes to itself; texts of
+any length are encoded whole, a long one as a chunk of its own; there are no ties; an
+empty table gives no rows; of other columns those named are kept, whatever their names.
 Special-token strings are ordinary text.
 """
 
@@ -22,17 +29,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import cut, pieces, prepare, ragged, text_buffers
+from pagewright.llm.common import cut, pieces, prepare, ragged, span_hashes, text_buffers
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The rank file's own pattern; (?U) gives Java's \s the Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_TABLE_BYTES = 128 << 20
-BUCKET_BITS = 22
+CHUNK_BYTES = 24 << 20
 
 
 @lru_cache(maxsize=2)
@@ -52,121 +60,176 @@ def split(text: str = "text") -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
 
 
-def _encode_words(path: str):
+def _gather(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Number and rows of chunks of about ``limit`` bytes of words, each row counted as 64 bytes more."""
+    held, size, number = [], 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        bounds, _, off = _words(batch)
+        at = off[bounds] + 64 * np.arange(len(bounds))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(at, at[lo] + limit - size, "right")) - 1
+            if hi <= lo and held:
+                yield number, held
+                held, size, number = [], 0, number + 1
+                continue
+            hi = max(hi, lo + 1)
+            held.append(batch.slice(lo, hi - lo))
+            size += int(at[hi] - at[lo])
+            lo = hi
+    if held:
+        yield number, held
+
+
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Bounds of the rows among the words of the last column, the words, and their bounds in bytes."""
+    lists = batch.column(batch.num_columns - 1)
+    flat = lists.flatten()
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)]), flat, text_buffers(flat)[1]
+
+
+def _numbered(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array, int]:
+    """Number of each word in the chunk, the words by number, and a mark of these."""
+    found = pa.concat_arrays([b.column(b.num_columns - 1).flatten() for b in rows]).dictionary_encode()
+    code = found.indices.to_numpy()
+    order = np.argsort(-np.bincount(code, minlength=len(found.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    words = found.dictionary.take(pa.array(order))
+    raw, off = text_buffers(words)
+    return rank[code], words, xxhash.xxh3_64_intdigest(off.tobytes() + raw.tobytes()) >> 1
+
+
+def _asked(limit: int, buckets: int):
+    """(bucket, chunk, mark, places, sizes, words): each chunk's distinct words, by a hash of the word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path)[0].encode_ordinary
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([encode(w) for w in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["hash", "word", "ids"])
+        for chunk, rows in _gather(batches, limit):
+            _, words, mark = _numbered(rows)
+            raw, off = text_buffers(words)
+            bucket = (span_hashes(raw, off[:-1], off[1:]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            raw, off = text_buffers(words.take(pa.array(order)))
+            some = np.flatnonzero(np.diff(ends))
+            spans = [(int(ends[b]), int(ends[b + 1])) for b in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some.astype(np.int32)),
+                    pa.array(np.full(len(some), chunk, np.int64)),
+                    pa.array(np.full(len(some), mark, np.int64)),
+                    pa.array([order[x:y].astype(np.uint32).tobytes() for x, y in spans], pa.binary()),
+                    pa.array([np.diff(off[x : y + 1]).astype(np.uint32).tobytes() for x, y in spans], pa.binary()),
+                    pa.array([raw[off[x] : off[y]].tobytes() for x, y in spans], pa.binary()),
+                ],
+                ["bucket", "chunk", "mark", "places", "sizes", "words"],
+            )
 
     return run
 
 
-def word_table(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """(hash, word, ids): each distinct word of the texts, encoded once."""
-    words = docs.select(F.explode(split()).alias("word")).distinct().select(F.xxhash64("word").alias("hash"), "word")
-    return cut(words.mapInArrow(_encode_words(path), "hash long, word string, ids array<int>"))
+def _encoded(path: str):
+    """(chunk, mark, places, counts, ids) of each row of words; a word's rows are all in one partition, where it is encoded once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known = vocabulary(path)[0].encode_ordinary, {}
 
-def _pack(small: bool):
-    """Rows in order of their hashes as three flat arrays to a batch."""
+        def ids_of(word: bytes) -> list[int]:
+            found = known.get(word)
+            if found is None:
+                found = known[word] = encode(word.decode())
+            return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
-            ids = batch.column(1).flatten().to_numpy().astype(np.uint16 if small else np.int32)
-            flat = [pa.array([x.tobytes()], pa.binary()) for x in (batch.column(0).to_numpy(), sizes, ids)]
-            yield pa.RecordBatch.from_arrays(flat, ["hashes", "sizes", "ids"])
+            for i in range(batch.num_rows):
+                ends = np.cumsum(np.frombuffer(batch.column("sizes")[i].as_py(), np.uint32), dtype=np.int64).tolist()
+                words = batch.column("words")[i].as_py()
+                ids = [ids_of(words[a:b]) for a, b in zip([0, *ends], ends)]
+                counts, flat = np.array([len(x) for x in ids], np.uint32), np.array([y for x in ids for y in x], np.int32)
+                own = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([own.column("chunk"), own.column("mark"), own.column("places"), pa.array([counts.tobytes()], pa.binary()), pa.array([_planes(flat)], pa.binary())], ["chunk", "mark", "places", "counts", "ids"])
 
     return run
 
 
-class Lookup:
-    """Sorted hashes and the ids of all words in one array; where each word's ids and each bucket begin is found on the worker."""
+def _planes(values: np.ndarray) -> bytes:
+    """Small non-negative numbers, first all their lowest bytes, then the next, up to the last that any needs; one byte each at least."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 0
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
 
-    def __init__(self, parts: list[tuple[bytes, bytes, bytes]], small: bool):
-        parts = sorted(parts, key=lambda p: np.frombuffer(p[0][:8], np.uint64)[0])
-        self.hashes, self.sizes, self.ids = (np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate((np.uint64, np.int32, np.uint16 if small else np.int32)))
-        self.starts = self.first = None
 
-    def ready(self) -> Lookup:
-        if self.starts is None:
-            self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
-            self.first = np.searchsorted(self.hashes >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
-        return self
+def _values(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers of _planes."""
+    out = np.zeros((n, 4), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return out.view("<u4").ravel().astype(np.int64)
 
-    def rows(self, hashes: np.ndarray) -> np.ndarray:
-        """Where each hash stands; every one must be there."""
-        at = self.first[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-        open_ = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes)
-        while len(open_):
-            at[open_] += 1
-            if at[open_].max() >= len(self.hashes):
-                raise KeyError("a word is missing from the word table")
-            open_ = open_[self.hashes[at[open_]] != hashes[open_]]
-        return at
 
-    def encode(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the rows that ``at`` bounds among the hashes, and the rows' offsets into them."""
-        found = self.rows(hashes) if len(hashes) else np.zeros(0, np.int32)
-        sizes = self.sizes[found].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self.ids[ragged(self.starts[found], sizes)], ends[at]
+def _rows(limit: int):
+    """(chunk, mark, row, n, codes): each row's words as numbers of its chunk."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _gather(batches, limit):
+            code, _, mark = _numbered(rows)
+            at = 0
+            for batch in rows:
+                lists, bounds = batch.column(1), _words(batch)[0] + at
+                at = int(bounds[-1])
+                null = lists.is_null()
+                codes = pa.array([None if x else _planes(code[a:b]) for a, b, x in zip(bounds[:-1], bounds[1:], null.to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), chunk)), pa.array(np.full(len(lists), mark)), batch.column(0), pa.array(np.diff(bounds)), codes], ["chunk", "mark", "row", "n", "codes"])
 
-def _encoder(table, path: str | None):
-    """Ids by look-up; with a path also the texts that the ids decode to."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, back = table.value.ready(), Pieces(path) if path else None
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
-            hashes, null = lists.flatten().to_numpy().view(np.uint64), lists.is_null()
-            for lo, hi in pieces(bounds, 200_000):
-                ids, ends = lookup.encode(hashes[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                none = null.slice(lo, hi - lo)
-                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=none)]
-                if back is not None:
-                    made.append(back.join(ids, ends, none.to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], *made], [*batch.schema.names[:-1], "token_ids", "decoded"][: batch.num_columns - 1 + len(made)])
+
+def _put_back(path: str, decoded: bool):
+    """(row, token_ids, and decoded) of the rows of a chunk."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        if len(set(rows.column("mark").unique().to_pylist()) | set(found.column("mark").unique().to_pylist())) > 1:
+            raise ValueError("the rows came in another order when they were read again: encode them with stable=False")
+        place = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in found.column("places").to_pylist())])
+        counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in found.column("counts").to_pylist()]
+        ids = np.concatenate([np.zeros(0, np.int64), *(_values(x, int(c.sum())) for x, c in zip(found.column("ids").to_pylist(), counts))])
+        count = np.concatenate([np.zeros(0, np.int64), *counts])
+        start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        start[place], size[place] = np.cumsum(count) - count, count
+        n = rows.column("n").to_numpy()
+        bounds, null, codes = np.concatenate([[0], np.cumsum(n)]), rows.column("codes").combine_chunks().is_null().to_numpy(zero_copy_only=False), rows.column("codes")
+        back, lists, texts = Pieces(path) if decoded else None, [], []
+        for lo, hi in pieces(bounds, 200_000):
+            code = np.concatenate([np.zeros(0, np.int64), *(_values(x.as_py(), int(n[i])) for i, x in zip(range(lo, hi), codes.slice(lo, hi - lo)) if n[i])])
+            each = size[code]
+            ends = np.concatenate([[0], np.cumsum(each)])[bounds[lo : hi + 1] - bounds[lo]]
+            got = ids[ragged(start[code], each)]
+            lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32)), mask=pa.array(null[lo:hi])))
+            if back is not None:
+                texts.append(back.join(got, ends, null[lo:hi]))
+        made = [pa.chunked_array(lists, pa.list_(pa.int32()))] + ([pa.chunked_array(texts, pa.string())] if decoded else [])
+        return pa.table([rows.column("row"), *made], ["row", "token_ids", "decoded"][: 1 + len(made)])
 
     return run
 
 
-def encode(docs: DataFrame, columns: list[str], path: str = RANKS, max_table_bytes: int = MAX_TABLE_BYTES, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, columns: list[str], path: str = RANKS, stable: bool = False, decoded: bool = False, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
     """The columns named and token_ids array<int>, a row for each row of docs; with ``decoded`` also the text of these ids.
 
-    Decoding in the same pass saves sending all ids to Python again.
+    ``buckets`` is the number of parts in which distinct words are encoded, by default that of the session's shuffles.
     """
     spark = docs.sparkSession
     prepare(spark)
-    table = word_table(docs.select("text"), path)
-    size = table.agg(F.coalesce(F.sum(16 + 4 * F.size("ids")), F.lit(0)).alias("bytes"), F.count("*").alias("n"), F.count_distinct("hash").alias("hashes")).first()
-    if size["bytes"] > max_table_bytes or size["n"] != size["hashes"]:
-        found = _encode_by_shuffle(docs, columns, table)
-        return decode(found, path) if decoded else found
-    # Workers order and flatten the table, so the driver only passes bytes on.
-    small = len(vocabulary(path)[1]) <= 1 << 16
-    unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    packed = table.select("hash", "ids").orderBy(unsigned).mapInArrow(_pack(small), "hashes binary, sizes binary, ids binary").collect()
-    shared = spark.sparkContext.broadcast(Lookup([(r["hashes"], r["sizes"], r["ids"]) for r in packed], small))
-    del packed
-    hashed = docs.select(*columns, F.transform(split(), lambda w: F.xxhash64(w)).alias("__hashes"))
-    kept = docs.select(*columns).schema
-    schema = kept.add("token_ids", T.ArrayType(T.IntegerType()))
-    return hashed.mapInArrow(_encoder(shared, path if decoded else None), schema.add("decoded", T.StringType()) if decoded else schema)
-
-
-def _encode_by_shuffle(docs: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:
-    """The same rows, with the word table joined by the words themselves."""
-    row = F.struct(F.monotonically_increasing_id().alias("row"), *columns)
-    known = docs.select(row.alias("__row"), split().alias("__words"))
-    spread = known.select("__row", F.col("__words").isNull().alias("__null"), F.posexplode_outer("__words").alias("__pos", "__word"))
-    joined = spread.join(table.select(F.col("word").alias("__word"), "ids"), "__word", "left")
-    whole = joined.groupBy("__row").agg(F.first("__null").alias("__null"), F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("__pos", "ids")))).alias("__parts"))
-    return whole.select(*[F.col(f"__row.{c}").alias(c) for c in columns], F.when(~F.col("__null"), F.flatten(F.col("__parts.ids"))).alias("token_ids"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
+    if not stable:
+        own = cut(own)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = own.select(split().alias("words")).mapInArrow(_asked(chunk_bytes, buckets), "bucket int, chunk long, mark long, places binary, sizes binary, words binary")
+    ids = words.repartition(buckets, "bucket").mapInArrow(_encoded(path), "chunk long, mark long, places binary, counts binary, ids binary")
+    kept = own.schema["row"]
+    coded = own.select("row", split().alias("words")).mapInArrow(_rows(chunk_bytes), T.StructType([T.StructField("chunk", T.LongType()), T.StructField("mark", T.LongType()), kept, T.StructField("n", T.LongType()), T.StructField("codes", T.BinaryType())]))
+    made = T.StructType([kept, T.StructField("token_ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
+    return coded.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_put_back(path, decoded), made).select("row.*", *made.names[1:])
 
 
 class Pieces:
@@ -205,7 +268,7 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     return encoded.mapInArrow(_decoder(path), encoded.select("*").schema.add("decoded", T.StringType()))
 
 
-def encode_and_decode(docs: DataFrame, path: str = RANKS, max_table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str = RANKS, **options) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded) for each row."""
-    found = encode(docs, ["doc_id"], path, max_table_bytes, decoded=True)
+    found = encode(docs, ["doc_id"], path, decoded=True, **options)
     return found.select("doc_id", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids", "decoded")

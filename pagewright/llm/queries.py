@@ -9,7 +9,7 @@ QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets.scan(table(spark, sf_dir, "documents")),
     "op2_ppm_scoring": lambda spark, sf_dir: ppm.code_lengths(table(spark, sf_dir, "documents")),
     "op3_repetition_rules": lambda spark, sf_dir: repetition.repetition(table(spark, sf_dir, "documents")),
-    "op4_bpe_encode_decode": lambda spark, sf_dir: bpe.encode_and_decode(table(spark, sf_dir, "documents")),
+    "op4_bpe_encode_decode": lambda spark, sf_dir: bpe.encode_and_decode(table(spark, sf_dir, "documents"), stable=True),
     "op5_url_cascade": lambda spark, sf_dir: urls.tracked_pages(table(spark, sf_dir, "pages")),
     "op6_minhash_near_dedup": lambda spark, sf_dir: dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key"),
     "op7_mixing": lambda spark, sf_dir: mixing.mixed(table(spark, sf_dir, "documents")),
