@@ -282,17 +282,28 @@ def test_repetition_rows(docs, none):
 # 4. BPE
 
 
-@pytest.mark.parametrize("limit", [bpe.MAX_TABLE_BYTES, 0])
-def test_bpe_round_trip_and_ids(docs, none, limit):
+@pytest.mark.parametrize("options", [{}, {"stable": True}, {"chunk_bytes": 2000, "buckets": 3}, {"chunk_bytes": 1, "buckets": 1}])
+def test_bpe_round_trip_and_ids(docs, none, options):
     import tiktoken
 
     with open(bpe.RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     plain = tiktoken.Encoding("own", pat_str=bpe.PATTERN.removeprefix("(?U)"), mergeable_ranks=ranks, special_tokens={})
-    found = rows(bpe.encode_and_decode(docs, max_table_bytes=limit))
+    found = rows(bpe.encode_and_decode(docs, **options))
     want = [(r[0], None if r[1] is None else len(plain.encode_ordinary(r[1])), None if r[1] is None else plain.encode_ordinary(r[1]), r[1]) for r in ROWS]
     assert sorted(map(str, found)) == sorted(map(str, want))
-    assert rows(bpe.encode_and_decode(none, max_table_bytes=limit)) == []
+    assert rows(bpe.encode_and_decode(none, **options)) == []
+
+
+def test_bpe_rows_that_change_order_are_an_error():
+    one, other = pa.table({"mark": [1], "row": [{"a": 1}], "n": [0], "codes": [b""]}), pa.table({"mark": [2], "places": [b""], "counts": [b""], "ids": [b""]})
+    with pytest.raises(ValueError, match="another order"):
+        bpe._put_back(bpe.RANKS, False)(one, other)
+
+
+def test_bpe_numbers_are_packed():
+    for x in ([], [0], [5, 0, 255], [70_000, 1], [1 << 30, 7]):
+        assert bpe._values(bpe._planes(np.array(x, np.int64)), len(x)).tolist() == x
 
 
 # 5. URLs
