@@ -41,7 +41,7 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, token_ids, decoded) of each row."""
     from pyspark.sql import functions as F
 
-    found = bpe.encode(docs, ["doc_id", "lang", "source"], decoded=True)
+    found = bpe.encode(docs, ["doc_id", "lang", "source"], stable=True, decoded=True)
     return found.select("doc_id", "lang", "source", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids", "decoded")
 
 
