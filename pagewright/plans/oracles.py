@@ -54,8 +54,10 @@ walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(l INT, t VARCH
 merged AS (SELECT t.* FROM turned t WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.gone AND w.doc_id = t.doc_id AND w.page_no = t.page_no AND w.pos = t.pos))"""
 
 
+_UNIT = "'^제\\s*\\d+\\s*(조|[편장절관부])'"
+_AFTER = f"ltrim(regexp_replace(content, {_UNIT}, ''))"
 NORMALISED = f"""
-kinds AS (SELECT doc_id, page_no, pos, content, caption, type, CASE WHEN type = 'text' AND regexp_matches(content, '^제\\s*\\d+\\s*(조|[편장절관부])') THEN 'heading_1' ELSE type END AS kind,
+kinds AS (SELECT doc_id, page_no, pos, content, caption, type, CASE WHEN type = 'text' AND regexp_matches(content, {_UNIT}) AND (starts_with({_AFTER}, '(') OR (NOT starts_with({_AFTER}, '제') AND NOT regexp_matches(substr({_AFTER}, 1, 20), '참조|준용') AND length(trim(content)) <= 25)) THEN 'heading_1' ELSE type END AS kind,
   row_number() OVER (PARTITION BY doc_id ORDER BY page_no, pos) AS ord FROM merged),
 ranked AS (SELECT *, {RANK} AS r0, starts_with(kind, 'heading') AND NOT (regexp_matches(content, {_re(CLAUSE_MARKER)}) AND (regexp_matches(content, '^[①-⑳]') OR length(trim(content)) > 40)) AS may,
   coalesce(lag(kind) OVER d IN ('text', 'paragraph') OR starts_with(lag(kind) OVER d, 'heading'), FALSE) AND regexp_matches(coalesce(lag(content) OVER d, ''), '(및|또는|하고|[와과의에를을로])\\s*$') AS open_before
@@ -162,10 +164,11 @@ CONSERVED = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text),
 c AS (SELECT doc_id, word, count(*) FILTER (WHERE side = 1) - count(*) FILTER (WHERE side = 2) AS d FROM w GROUP BY 1, 2)
 SELECT doc_id, sum(greatest(d, 0))::BIGINT AS lost, sum(greatest(-d, 0))::BIGINT AS added FROM c GROUP BY 1"""
 MARKDOWN = f"""{ELEMENTS} SELECT doc_id, page_no, string_agg(CASE WHEN starts_with(type, 'heading') THEN repeat('#', CAST(substr(type, 9, 1) AS INT)) || ' ' || content
-  WHEN type = 'toc_entry' THEN '- ' || split_part(content, '::', 1) || ' (' || split_part(content, '::', 2) || ')' ELSE content END, chr(10) || chr(10) ORDER BY pos) AS markdown FROM elements GROUP BY 1, 2"""
+  WHEN type = 'toc_entry' THEN '- ' || split_part(content, '::', 1) || ' (' || split_part(content, '::', 2) || ')' WHEN type = 'figure' THEN '![]()' ELSE content END, chr(10) || chr(10) ORDER BY pos) AS markdown FROM elements GROUP BY 1, 2"""
 XML = f"""{ELEMENTS} SELECT doc_id, page_no, '<document><page_number>' || page_no || '</page_number><elements>' || string_agg('<element type="' || type || '">' || replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</element>', '' ORDER BY pos)
   || '</elements></document>' AS xml FROM elements GROUP BY 1, 2"""
-TABLE_FACTS = f"{ELEMENTS} SELECT doc_id, page_no, pos, CAST(len(regexp_extract_all(content, '<tr>')) AS INT) AS n_rows, 2 AS n_cols, 0.95 AS confidence, '' AS issues FROM elements WHERE type = 'table'"
+TABLE_FACTS = f"""{ELEMENTS}, t AS (SELECT doc_id, page_no, pos, list_transform(string_split(content, '<tr>')[2:], lambda r: len(regexp_extract_all(r, '<td>'))) AS w FROM elements WHERE type = 'table')
+SELECT doc_id, page_no, pos, CAST(len(w) AS INT) AS n_rows, CAST(list_max(w) AS INT) AS n_cols, CASE WHEN list_min(w) < list_max(w) THEN 0.65 ELSE 0.95 END::DOUBLE AS confidence, CASE WHEN list_min(w) < list_max(w) THEN 'ragged_rows' ELSE '' END AS issues FROM t"""
 CARRIED = """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations"""
 PAGE_RANGES = """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS idx, o_orderpriority AS name, 1 + CAST(count(*) AS BIGINT) // 3 AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
 e AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS page_end FROM o) SELECT doc_id, name, page_end - n + 1 AS page_start, page_end FROM e"""

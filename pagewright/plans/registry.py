@@ -117,8 +117,8 @@ def native_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def native_substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered tables against one native table a document that holds the rows of all its pages."""
-    e = rendered.elements(spark, sf_dir)
+    """Tables of regions against one native table a document that holds the rows of all its pages."""
+    e = rendered.region_elements(spark, sf_dir)
     body = F.regexp_replace("content", "^<table><tr>.*?</tr>|</table>$", "")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", body.alias("rows")))), lambda x: x["rows"]), "")
     natives = e.where("type = 'table'").groupBy("doc_id").agg(F.concat(F.lit("<table><tr><td>key</td><td>cents</td></tr>"), whole, F.lit("</table>")).alias("html")).withColumn("idx", F.lit(0))
