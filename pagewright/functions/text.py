@@ -8,6 +8,7 @@ import re
 import textwrap
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -263,3 +264,32 @@ def json_coverage(out: Column, source: Column) -> Column:
 def occurrences(haystack: Column, needle: Column) -> Column:
     """How often the needle stands in the haystack, without overlaps."""
     return F.when(F.length(needle) > 0, ((F.length(haystack) - F.length(F.replace(haystack, needle))) / F.length(needle)).cast("long")).otherwise(F.lit(0))
+
+
+#: Bytes from which on a text has an anchor: a window of eight-byte pieces.
+ANCHOR_WINDOW = 32
+ANCHORED = ANCHOR_WINDOW + 7
+
+
+def _window_minima(text: str | None) -> np.ndarray:
+    """Least mixed value of the eight-byte pieces of each window. A text inside another has its windows there too."""
+    raw = (text or "").encode()
+    if len(raw) < ANCHORED:
+        return np.zeros(0, np.int64)
+    h = np.ndarray((len(raw) - 7,), np.uint64, raw, strides=(1,)).copy()
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.lib.stride_tricks.sliding_window_view(h.view(np.int64), ANCHOR_WINDOW).min(axis=1)
+
+
+@F.pandas_udf(types.ArrayType(types.LongType()))
+def anchors(text: pd.Series) -> pd.Series:
+    """The anchors of all windows of a text, each once: among them, of every text that it contains, its anchor."""
+    return text.map(lambda t: np.unique(_window_minima(t)))
+
+
+@F.pandas_udf(types.LongType())
+def anchor(text: pd.Series) -> pd.Series:
+    """The anchor of the first window; null for a text of fewer than ANCHORED bytes."""
+    return text.map(lambda t: next(iter(_window_minima((t or "")[:ANCHORED]).tolist()), None)).astype("Int64")

@@ -1,14 +1,18 @@
 """Heading hierarchy over ordered elements (doc_id, page_no, pos, type, content, ...).
 
 Order is (page_no, pos) inside a document. Everything that only looks at neighbours
-is a window; the level stack, which is not, is a fold over a document's headings
-alone, so bodies are never gathered.
+is a window; the stacks of open headings, which are not, are kept while a partition's
+headings pass by in order, so neither bodies nor a document's headings are gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions import numbering as num
 
@@ -44,33 +48,59 @@ def drop_furniture(elements: DataFrame) -> DataFrame:
     return e.where(~F.coalesce(running, F.lit(False)) | (F.col("__nth") == 1)).select(*elements.columns)
 
 
+def _in_order(heads: DataFrame, *order: str) -> DataFrame:
+    """A document's headings in one partition, in order."""
+    return heads.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, page_no, pos, level, title, turn, marked) that continue an open heading."""
+    last, titles = object(), []
+    for batch in batches:
+        gone = []
+        for doc, level, title, turn, marked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "level", "title", "turn", "marked"))):
+            if doc != last:
+                last, titles = doc, []
+            again = marked or (turn and title != "" and any(t == title for _, t in titles))
+            gone.append(again)
+            if not again:
+                titles = [(n, t) for n, t in titles if n < level]
+                titles.append((level, title))
+        yield batch.filter(pa.array(gone, pa.bool_())).select(["doc_id", "page_no", "pos"])
+
+
 def merge_continued(elements: DataFrame) -> DataFrame:
     """Without headings marked as continued, or that repeat an open heading's title just after a page break.
 
-    The open titles are a stack by the model's own levels, folded over the headings of each document.
+    The open titles are a stack by the model's own levels.
     """
     page_before = F.lag("page_no").over(_doc())
     marked = elements.withColumn("__turn", F.coalesce(page_before != F.col("page_no"), F.lit(False)))
     heads = marked.where(is_heading(F.col("type"))).select(
-        "doc_id", *_ORDER, F.substring("type", 9, 1).cast("int").alias("level"), num.plain_title(F.col("content")).alias("title"), "__turn", F.coalesce("content", F.lit("")).rlike(CONTINUED).alias("marked")
+        "doc_id", *_ORDER, F.substring("type", 9, 1).cast("int").alias("level"), num.plain_title(F.col("content")).alias("title"), F.col("__turn").alias("turn"), F.coalesce("content", F.lit("")).rlike(CONTINUED).alias("marked")
     )
-    rows = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*_ORDER, "level", "title", "__turn", "marked"))).alias("heads"))
-    start = F.struct(F.expr("cast(array() as array<struct<level:int,title:string>>)").alias("open"), F.expr("cast(array() as array<struct<page_no:int,pos:int>>)").alias("gone"))
-
-    def step(state: Column, h: Column) -> Column:
-        repeat = h["__turn"] & (h["title"] != "") & F.exists(state["open"], lambda o: o["title"] == h["title"])
-        kept = F.filter(state["open"], lambda o: o["level"] < h["level"])
-        opened = F.array_append(kept, F.struct(h["level"].alias("level"), h["title"].alias("title")))
-        drop = h["marked"] | repeat
-        return F.struct(
-            F.when(drop, state["open"]).otherwise(opened).alias("open"),
-            F.when(drop, F.array_append(state["gone"], F.struct(h["page_no"].cast("int").alias("page_no"), h["pos"].cast("int").alias("pos")))).otherwise(state["gone"]).alias("gone"),
-        )
-
-    gone = rows.select("doc_id", F.explode(F.aggregate("heads", start, step)["gone"]).alias("g")).select("doc_id", F.col("g.page_no").alias("page_no"), F.col("g.pos").alias("pos"))
+    gone = _in_order(heads, *_ORDER).mapInArrow(_gone, elements.select("doc_id", *_ORDER).schema)
     return elements.join(gone, ["doc_id", *_ORDER], "left_anti").select(*elements.columns)
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Level and path of rows of (doc_id, section, rank, title)."""
+    last, ranks, titles = object(), [], []
+    for batch in batches:
+        levels, paths = [], []
+        for doc, rank, title in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rank", "title"))):
+            if doc != last:
+                last, ranks, titles = doc, [], []
+            ranks = [r for r in ranks if r < rank]
+            level = min(len(ranks) + 1, MAX_LEVEL)
+            ranks.append(rank)
+            titles = [(n, t) for n, t in titles if n < level]
+            titles.append((level, title))
+            levels.append(level)
+            paths.append([t for _, t in titles])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("section"), pa.array(levels, pa.int32()), pa.array(paths, pa.list_(pa.string()))], ["doc_id", "section", "level", "heading_path"])
+
+
 def normalise(elements: DataFrame) -> DataFrame:
     """Adds level (null for bodies), title, heading_path and section (0 before the first heading), with type set anew.
 
@@ -92,21 +122,9 @@ def normalise(elements: DataFrame) -> DataFrame:
     rank = F.when(F.coalesce(root, F.lit(False)), F.lit(1)).when(F.col("__first") & num.marker(content).isNull() & (F.col("__rank") >= 10), F.lit(1)).otherwise(F.col("__rank"))
     e = e.withColumns({"__rank": rank, "title": F.when(F.col("__head"), num.title(content)), "section": F.sum(F.col("__head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")})
 
-    heads = e.where("__head").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section", F.col("__rank").alias("rank"), "title"))).alias("heads"))
-    start = F.struct(
-        F.expr("cast(array() as array<int>)").alias("ranks"),
-        F.expr("cast(array() as array<struct<level:int,title:string>>)").alias("open"),
-        F.expr("cast(array() as array<struct<section:int,level:int,path:array<string>>>)").alias("out"),
-    )
-
-    def step(state: Column, h: Column) -> Column:
-        ranks = F.filter(state["ranks"], lambda r: r < h["rank"])
-        level = F.least(F.size(ranks) + 1, F.lit(MAX_LEVEL))
-        open_ = F.array_append(F.filter(state["open"], lambda o: o["level"] < level), F.struct(level.alias("level"), h["title"].alias("title")))
-        made = F.struct(h["section"].alias("section"), level.alias("level"), F.transform(open_, lambda o: o["title"]).alias("path"))
-        return F.struct(F.array_append(ranks, h["rank"]).alias("ranks"), open_.alias("open"), F.array_append(state["out"], made).alias("out"))
-
-    paths = heads.select("doc_id", F.explode(F.aggregate("heads", start, step)["out"]).alias("p")).select("doc_id", "p.section", "p.level", F.col("p.path").alias("heading_path"))
+    heads = e.where("__head").select("doc_id", "section", F.col("__rank").cast("int").alias("rank"), "title")
+    made = T.StructType([*heads.select("doc_id", "section").schema.fields, T.StructField("level", T.IntegerType()), T.StructField("heading_path", T.ArrayType(T.StringType()))])
+    paths = _in_order(heads, "section").mapInArrow(_levels, made)
     joined = e.join(paths, ["doc_id", "section"], "left")
     head_type = F.concat(F.lit("heading_"), F.col("level").cast("string"))
     body_type = F.when(is_heading(F.col("__kind")), F.lit("text")).otherwise(F.col("type"))

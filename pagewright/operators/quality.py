@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.functions import text
 from pagewright.operators.elements import squash
 
 LOW, VIEWER_LOW = 0.75, 0.70
@@ -301,22 +302,27 @@ def words(text: Column) -> Column:
 
 def conserved(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, lost, added): words of (doc_id, content) rows that one side has more often than the other; 0 and 0 if only moved."""
-    count = lambda df, name: df.select("doc_id", F.explode(words(F.col("content"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias(name))
-    both = count(before, "a").join(count(after, "b"), ["doc_id", "word"], "full")
-    d = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
-    return both.groupBy("doc_id").agg(F.sum(F.greatest(d, F.lit(0))).alias("lost"), F.sum(F.greatest(-d, F.lit(0))).alias("added"))
+    side = lambda df, sign: df.select("doc_id", F.explode(words(F.col("content"))).alias("word"), F.lit(sign).cast("long").alias("n"))
+    d = side(before, 1).unionByName(side(after, -1)).groupBy("doc_id", "word").agg(F.sum("n").alias("d"))
+    return d.groupBy("doc_id").agg(F.sum(F.greatest("d", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("added"))
 
 
 def support(needles: DataFrame, sources: DataFrame) -> DataFrame:
     """(needle_id, source_id, n): how often each needle's text stands in each source's, compared as letters and digits; none left out.
 
-    The needles' table must be small enough to be compared with every source (it is broadcast only if Spark finds it small).
+    A source is looked at for a needle only if it has the needle's anchor, so no table is compared with all of another.
     """
-    from pagewright.functions.text import letters_and_digits, occurrences
-
-    a = needles.select("needle_id", letters_and_digits(F.col("text")).alias("a")).where("a <> ''")
-    b = sources.select("source_id", letters_and_digits(F.col("text")).alias("b"))
-    return b.join(a, F.contains("b", "a")).select("needle_id", "source_id", occurrences(F.col("b"), F.col("a")).alias("n"))
+    a = needles.select("needle_id", text.letters_and_digits(F.col("text")).alias("a")).where("a <> ''")
+    b = sources.select("source_id", text.letters_and_digits(F.col("text")).alias("b"))
+    pairs = b.select("source_id", F.explode(text.anchors("b")).alias("anchor")).join(a.select("needle_id", text.anchor("a").alias("anchor")), "anchor").select("source_id", "needle_id").distinct()
+    # Needles too short for an anchor are met by all pieces of their length; there are fewer than ANCHORED lengths.
+    short = a.where(F.octet_length("a") < text.ANCHORED)
+    for size in sorted(r[0] for r in short.select(F.length("a")).distinct().collect()):
+        piece = F.transform(F.sequence(F.lit(1), F.length("b") - size + 1), lambda i: F.substring("b", i, F.lit(size)))  # noqa: B023
+        pieces = b.where(F.length("b") >= size).select("source_id", F.explode(F.array_distinct(piece)).alias("a"))
+        pairs = pairs.unionByName(pieces.join(short, "a").select("source_id", "needle_id"))
+    found = pairs.join(a, "needle_id").join(b, "source_id")
+    return found.select("needle_id", "source_id", text.occurrences(F.col("b"), F.col("a")).alias("n")).where("n > 0")
 
 
 def as_of_last(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
