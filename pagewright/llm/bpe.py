@@ -118,9 +118,9 @@ def _asked(limit: int, buckets: int):
                     pa.array(some.astype(np.int32)),
                     pa.array(np.full(len(some), chunk, np.int64)),
                     pa.array(np.full(len(some), mark, np.int64)),
-                    pa.array([order[x:y].astype(np.uint32).tobytes() for x, y in spans], pa.binary()),
-                    pa.array([np.diff(off[x : y + 1]).astype(np.uint32).tobytes() for x, y in spans], pa.binary()),
-                    pa.array([raw[off[x] : off[y]].tobytes() for x, y in spans], pa.binary()),
+                    pa.array([_squeezed(_varints(np.diff(order[x:y], prepend=0))) for x, y in spans], pa.binary()),
+                    pa.array([_squeezed(_varints(np.diff(off[x : y + 1]))) for x, y in spans], pa.binary()),
+                    pa.array([_squeezed(raw[off[x] : off[y]].tobytes()) for x, y in spans], pa.binary()),
                 ],
                 ["bucket", "chunk", "mark", "places", "sizes", "words"],
             )
@@ -142,28 +142,47 @@ def _encoded(path: str):
 
         for batch in batches:
             for i in range(batch.num_rows):
-                ends = np.cumsum(np.frombuffer(batch.column("sizes")[i].as_py(), np.uint32), dtype=np.int64).tolist()
-                words = batch.column("words")[i].as_py()
+                ends = np.cumsum(_values(_unsqueezed(batch.column("sizes")[i].as_py()))).tolist()
+                words = _unsqueezed(batch.column("words")[i].as_py())
                 ids = [ids_of(words[a:b]) for a, b in zip([0, *ends], ends)]
-                counts, flat = np.array([len(x) for x in ids], np.uint32), np.array([y for x in ids for y in x], np.int32)
+                packed = [pa.array([_squeezed(_varints(np.array(x, np.int64)))], pa.binary()) for x in ([len(x) for x in ids], [y for x in ids for y in x])]
                 own = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([own.column("chunk"), own.column("mark"), own.column("places"), pa.array([counts.tobytes()], pa.binary()), pa.array([_planes(flat)], pa.binary())], ["chunk", "mark", "places", "counts", "ids"])
+                yield pa.RecordBatch.from_arrays([own.column("chunk"), own.column("mark"), own.column("places"), *packed], ["chunk", "mark", "places", "counts", "ids"])
 
     return run
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Small non-negative numbers, first all their lowest bytes, then the next, up to the last that any needs; one byte each at least."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 0
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed, after its length in four bytes."""
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b""
 
 
-def _values(raw: bytes, n: int) -> np.ndarray:
-    """The n numbers of _planes."""
-    out = np.zeros((n, 4), np.uint8)
-    if n:
-        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
-    return out.view("<u4").ravel().astype(np.int64)
+def _unsqueezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[4:], int.from_bytes(raw[:4], "little"), asbytes=True) if raw else b""
+
+
+def _varints(values: np.ndarray) -> bytes:
+    """Non-negative numbers, seven bits to a byte, the last byte of each below 128."""
+    v = np.asarray(values, np.int64)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 5):
+        size += v >= 1 << (7 * k)
+    at, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(size > k)
+        out[at[some] + k] = (v[some] >> (7 * k) & 127) | np.where(size[some] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    """The numbers of _varints; of several of its outputs, one after the other."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.int64)
+    end = np.flatnonzero(b < 128)
+    start = np.concatenate([[0], end[:-1] + 1])
+    shift = 7 * (np.arange(len(b)) - np.repeat(start, end - start + 1))
+    return np.add.reduceat((b & 127).astype(np.int64) << shift, start)
 
 
 def _rows(limit: int):
@@ -177,7 +196,7 @@ def _rows(limit: int):
                 lists, bounds = batch.column(1), _words(batch)[0] + at
                 at = int(bounds[-1])
                 null = lists.is_null()
-                codes = pa.array([None if x else _planes(code[a:b]) for a, b, x in zip(bounds[:-1], bounds[1:], null.to_pylist())], pa.binary())
+                codes = pa.array([None if x else _squeezed(_varints(code[a:b])) for a, b, x in zip(bounds[:-1], bounds[1:], null.to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), chunk)), pa.array(np.full(len(lists), mark)), batch.column(0), pa.array(np.diff(bounds)), codes], ["chunk", "mark", "row", "n", "codes"])
 
     return run
@@ -190,17 +209,15 @@ def _put_back(path: str, decoded: bool):
         rows = rows.combine_chunks()
         if len(set(rows.column("mark").unique().to_pylist()) | set(found.column("mark").unique().to_pylist())) > 1:
             raise ValueError("the rows came in another order when they were read again: encode them with stable=False")
-        place = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in found.column("places").to_pylist())])
-        counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in found.column("counts").to_pylist()]
-        ids = np.concatenate([np.zeros(0, np.int64), *(_values(x, int(c.sum())) for x, c in zip(found.column("ids").to_pylist(), counts))])
-        count = np.concatenate([np.zeros(0, np.int64), *counts])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_values(_unsqueezed(x))) for x in found.column("places").to_pylist())])
+        count, ids = (_values(b"".join(map(_unsqueezed, found.column(c).to_pylist()))) for c in ("counts", "ids"))
         start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         start[place], size[place] = np.cumsum(count) - count, count
         n = rows.column("n").to_numpy()
         bounds, null, codes = np.concatenate([[0], np.cumsum(n)]), rows.column("codes").combine_chunks().is_null().to_numpy(zero_copy_only=False), rows.column("codes")
         back, lists, texts = Pieces(path) if decoded else None, [], []
         for lo, hi in pieces(bounds, 200_000):
-            code = np.concatenate([np.zeros(0, np.int64), *(_values(x.as_py(), int(n[i])) for i, x in zip(range(lo, hi), codes.slice(lo, hi - lo)) if n[i])])
+            code = _values(b"".join(_unsqueezed(x) for x in codes.slice(lo, hi - lo).to_pylist() if x))
             each = size[code]
             ends = np.concatenate([[0], np.cumsum(each)])[bounds[lo : hi + 1] - bounds[lo]]
             got = ids[ragged(start[code], each)]
