@@ -302,8 +302,8 @@ def test_bpe_rows_that_change_order_are_an_error():
 
 
 def test_bpe_numbers_are_packed():
-    for x in ([], [0], [5, 0, 255], [70_000, 1], [1 << 30, 7]):
-        assert bpe._values(bpe._planes(np.array(x, np.int64)), len(x)).tolist() == x
+    for x in ([], [0], [5, 0, 127, 128, 255], [70_000, 1], [1 << 30, 7, (1 << 35) - 1]):
+        assert bpe._values(bpe._unsqueezed(bpe._squeezed(bpe._varints(np.array(x, np.int64))))).tolist() == x
 
 
 # 5. URLs
