@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import cut, mix, pieces, prepare, ragged, text_buffers, word_hashes
@@ -45,6 +45,8 @@ THRESHOLD = 0.5
 SEED = 20240607
 #: What one task verifies at most.
 PART_TEXTS, PART_BYTES = 2000, 32 << 20
+#: Logarithm of a bitmap's largest size in bits.
+MAX_BITS = 27
 
 
 @lru_cache(maxsize=2)
@@ -109,6 +111,70 @@ def _sign(bands: int, rows: int, words: int):
     return run
 
 
+def _edges(band: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in order of band and node where each band begins, the other rows, and the band's first row for each of these."""
+    first = np.ones(len(band), bool)
+    first[1:] = band[1:] != band[:-1]
+    start = np.flatnonzero(first)
+    other = np.flatnonzero(~first)
+    return start, other, start[np.cumsum(first)[other] - 1]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, a, b) of texts' (node, bands): of each band value here one row with its least node as a, and with no band an edge from
+    this to each other node. So a band value that very many texts share leaves a task as one row."""
+    nodes, bands, held = [], [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        node, band = np.concatenate(nodes), np.concatenate(bands)
+        order = np.lexsort((node, band))
+        node, band = node[order], band[order]
+        start, other, hub = _edges(band, node)
+        for at, key, b in ((start, pa.array(band[start]), node[start]), (hub, pa.nulls(len(hub), pa.int64()), node[other])):
+            for lo in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([key.slice(lo, 100_000), pa.array(node[at[lo : lo + 100_000]]), pa.array(b[lo : lo + 100_000])], ["band", "a", "b"])
+
+    for batch in batches:
+        lists = batch.column(1)
+        nodes.append(np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()))
+        bands.append(lists.flatten().to_numpy())
+        held += len(nodes[-1])
+        if held > 2_000_000:
+            yield from out()
+            nodes, bands, held = [], [], 0
+    if held:
+        yield from out()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): from rows (band, a) in order of both an edge from each band's first node to each other one."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if last is not None:
+            band, node = np.concatenate([[last[0]], band]), np.concatenate([[last[1]], node])
+        start, other, hub = _edges(band, node)
+        last = band[start[-1]], node[start[-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(node[hub]), pa.array(node[other])], ["a", "b"])
+
+
+def maybe(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows in a struct ``row`` and ``maybe``, true for each whose key is wanted and for few others.
+
+    A bitmap with about sixteen bits for each wanted row, at most MAX_BITS (16 MB), is broadcast; with more rows it lets
+    more through, so it only ever saves shuffling.
+    """
+    bits = 1 << max(16, min(MAX_BITS, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.select(place(wanted_key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    known = rows.select(F.struct(F.col("*")).alias("row"), place(key).alias("p")).withColumns({"bucket": F.bitmap_bucket_number("p"), "at": F.bitmap_bit_position("p")})
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("CAST(at % 8 AS INT)")
+    return known.join(F.broadcast(words), "bucket", "left").select("row", F.coalesce(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1, F.lit(False)).alias("maybe"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph of columns a and b: least node reached, by passing minima on and jumping along them."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -215,24 +281,32 @@ def _tasks(texts: DataFrame, parts: DataFrame, part_texts: int, part_bytes: int)
     return alone.unionByName(judged.where("large").select("text_key", "first_id", "bands").join(dealt, "text_key")), True
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, part_texts: int = PART_TEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text_key, group_id, links, copies, keep): a row for each document. group_id is the lowest doc_id of its group,
     whose row is kept; links is the number of other texts linked with this one, copies that of documents with the same text.
 
-    The texts are shuffled once, to bring candidates together; else only keys move.
+    Of the texts only those that share a band with others are shuffled, once; else only keys move.
     """
+    return _classes(docs, **options).drop("repeats")
+
+
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, part_texts: int = PART_TEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """near_duplicates with ``repeats``, the number of rows of this doc_id and text."""
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), F.xxhash64("text").alias("node"), F.col("text"))
     signed = cut(own.mapInArrow(_sign(bands, rows, words), "doc_id long, text_key binary, node long, n_bytes long, bands array<long>"))
-    copies = signed.select("doc_id", "text_key").distinct()
-    texts = cut(signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("node").alias("node"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")))
+    copies = signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("repeats"))
+    texts = signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("node").alias("node"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    texts = cut(texts)
     # Nodes of this graph are 64-bit hashes: two texts with one hash would only be verified together.
-    banded = texts.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most")
-    parts = components(banded.join(hubs.select("band", "a"), "band").where("a <> node").select("a", F.col("node").alias("b")))
+    stars = texts.select("node", "bands").mapInArrow(_stars, "band long, a long, b long")
+    met = stars.where("band IS NOT NULL").select("band", "a").repartition("band").sortWithinPartitions("band", "a").mapInArrow(_joined, "a long, b long")
+    parts = components(stars.where("band IS NULL").select("a", "b").unionByName(met).where("a <> b"))
     tasks, some = _tasks(texts, parts, part_texts, part_bytes)
+    tasks = cut(tasks.withColumnRenamed("text_key", "key"))
     # One row of each text: that of its first doc_id, and of its repetitions any.
-    member = own.where("text_key IS NOT NULL").select("doc_id", "text_key", "text").join(tasks.withColumnRenamed("text_key", "key"), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    likely = maybe(own.where("text_key IS NOT NULL").select("doc_id", "text_key", "text"), F.col("text_key"), tasks, F.col("key")).where("maybe").select("row.*")
+    member = likely.join(tasks, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     member = member.select("text_key", "text", "bands", "tasks").dropDuplicates(["text_key"]).withColumn("task", F.explode("tasks")).select("text_key", "text", "bands", "task.*")
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("route", "unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "text_key", "text", "bands")
     found = cut(member.groupBy("route", "unit", "low", "high").applyInArrow(_verify(threshold, words), "text_key binary, root binary, links long"))
@@ -253,6 +327,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
         (F.col("text_key").isNull() | (F.coalesce("first_text", F.lit(True)) & F.col("doc_id").eqNullSafe(group_id))).alias("keep"),
+        "repeats",
     )
 
 
@@ -262,10 +337,15 @@ def text_key(column: str):
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all their columns, of which one of each group of near duplicates stays."""
-    found = near_duplicates(docs, **options).where("keep").select(F.col("doc_id").alias("kept_id"), F.coalesce("text_key", F.lit(b"")).alias("kept_key"))
+    """The documents, all their columns, of which one of each group of near duplicates stays.
+
+    Documents that are alone in every respect are passed without a shuffle.
+    """
+    no_text = F.lit(b"")
+    found = cut(_classes(docs, **options).select(F.col("doc_id").alias("kept_id"), F.coalesce("text_key", no_text).alias("kept_key"), "keep", (F.col("text_key").isNull() | (F.col("links") > 0) | (F.col("copies") > 1) | (F.col("repeats") > 1)).alias("several")))
+    judged = maybe(docs, F.coalesce(text_key("text"), no_text), found.where("several"), F.col("kept_key"))
     plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    keyed = docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(text_key("text"), F.lit(b"")).alias("key"))
-    left = keyed.join(found, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    keyed = judged.where("maybe").select("row", F.col("row.doc_id").cast("long").alias("id"), F.coalesce(text_key("row.text"), no_text).alias("key"))
+    left = keyed.join(found.where("keep"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.xxhash64(*plain)))
-    return left.withColumn("place", first).where("place = 1").select("row.*")
+    return judged.where("NOT maybe").select("row.*").unionByName(left.withColumn("place", first).where("place = 1").select("row.*"))
