@@ -293,3 +293,45 @@ def anchors(text: pd.Series) -> pd.Series:
 def anchor(text: pd.Series) -> pd.Series:
     """The anchor of the first window; null for a text of fewer than ANCHORED bytes."""
     return text.map(lambda t: next(iter(_window_minima((t or "")[:ANCHORED]).tolist()), None)).astype("Int64")
+
+
+@F.pandas_udf(types.StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """NFC."""
+    return text.map(lambda t: unicodedata.normalize("NFC", t or ""))
+
+
+def clean_native(text: Column) -> Column:
+    """NFC, no private-use characters, single blanks and line breaks, none at the ends; for text that needs no more."""
+    t = F.regexp_replace(F.replace(F.regexp_replace(composed(text), "[\ue000-\uf8ff]", ""), F.lit("\xa0"), F.lit(" ")), "[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(t, "\n{2,}", "\n"), r"(?U)^\s+|\s+$", "")
+
+
+def excessive_output(generated: Column, source: Column, least_source: int = 256, base: int = 8000, ratio: float = 8.0) -> Column:
+    """Whether a model's output is far longer than the source text it should repeat; false where there is little source."""
+    n = meaning_length(source)
+    return (n >= least_source) & (meaning_length(generated) > F.greatest(F.lit(base), F.floor(n * ratio)))
+
+
+def without_alt(text: Column) -> Column:
+    """Lines in one, without those that office programs put in for an image."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.startswith("그림입니다") & ~x.startswith("원본 그림의") & (x != "원본")), " ")
+
+
+def content_words(text: Column, stop: Column) -> Column:
+    """Distinct words of two letters or digits and more, but those of the array stop."""
+    return F.array_except(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[가-힣A-Za-z0-9]{2,}"), F.lit(0)), stop)
+
+
+def word_overlap(a: Column, b: Column, stop: Column) -> Column:
+    """Shared content words in the smaller set of them; 0 below three."""
+    x, y = content_words(a, stop), content_words(b, stop)
+    both = F.size(F.array_intersect(x, y))
+    return F.when(both >= 3, both / F.least(F.size(x), F.size(y))).otherwise(F.lit(0.0))
+
+
+@F.pandas_udf(types.ArrayType(types.IntegerType()))
+def compact_offsets(text: pd.Series) -> pd.Series:
+    """For each character of ``compact`` the place of the character it comes from."""
+    return text.map(lambda t: [i for i, c in enumerate(t or "") for x in unicodedata.normalize("NFKC", c).casefold() if x.isalnum()])

@@ -141,10 +141,9 @@ def fallback_pages(texts: DataFrame) -> DataFrame:
 def sanity_of_contents(elements: DataFrame, sources: DataFrame) -> DataFrame:
     """Contents entries whose title and page no line of the text layer shows, and that look like a group label, become headings."""
     lines = sources.select(*PAGE, F.explode(F.split("source_text", "\n")).alias("line"))
-    shown = lines.select(*PAGE, F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]", "").alias("seen")).distinct()
-    entries = elements.where("type = 'toc_entry'").withColumn("__key", F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]", ""))
-    supported = entries.join(shown, (entries.doc_id == shown.doc_id) & (entries.page_no == shown.page_no) & (entries["__key"] == shown.seen), "left_semi").select(*PAGE, "pos", F.lit(True).alias("__ok"))
-    out = elements.join(supported, [*PAGE, "pos"], "left")
+    shown = lines.select(*PAGE, F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]", "").alias("__key")).distinct()
+    key = F.when(F.col("type").eqNullSafe("toc_entry"), F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]", ""))
+    out = elements.withColumn("__key", key).join(shown.withColumn("__ok", F.lit(True)), [*PAGE, "__key"], "left")
     title = F.trim(F.regexp_extract("content", r"^(.*)::[^:]*$", 1))
     group = F.col("type").eqNullSafe("toc_entry") & F.col("__ok").isNull() & title.rlike(ROMAN)
     return out.withColumn("content", F.when(group, title).otherwise(F.col("content"))).withColumn("type", F.when(group, F.lit("heading_2")).otherwise(F.col("type"))).select(*elements.columns)
@@ -156,15 +155,13 @@ DEFAULT_CONFIDENCE = {"figure": 0.82, "table": 0.85}
 def clean_pages(elements: DataFrame, sources: DataFrame, mask: Callable[[Column], Column] | None = None) -> DataFrame:
     """The page pipeline, in the order its steps depend on: evidence-based de-duplication, exact and contained texts, trailing
     headings, contents, counters, captions, table repair, prose near tables, provenance, and last the mask if one is given."""
-    e = evidence.dedupe_figures(evidence.dedupe_tables(evidence.restore_leading(elements, sources), sources), sources)
-    e = evidence.drop_prose_near_figures(evidence.dedupe_headings(e, sources), sources)
-    e = el.dedupe_exact(evidence.drop_near_duplicates(el.dedupe_contained(e)))
+    e = evidence.all_by_source(elements, sources)
     e = sanity_of_contents(el.drop_trailing_headings(e), sources)
     e = el.attach_unit_captions(el.backfill_captions(el.drop_page_artifacts(e)))
     e = tables.repair(e)
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("pos", "part")) - 1
     e = e.withColumn("pos", order.cast(elements.schema["pos"].dataType)).drop("part")
-    e = el.dedupe_exact(evidence.drop_prose_near_tables(e))
+    e = el.dedupe_exact(evidence.per_page(e, evidence.near_tables))
     sure = F.lit(0.88)
     for kind, value in DEFAULT_CONFIDENCE.items():
         sure = F.when(F.col("type") == kind, F.lit(value)).otherwise(sure)

@@ -142,3 +142,15 @@ def normalise(elements: DataFrame) -> DataFrame:
 def prepared(elements: DataFrame) -> DataFrame:
     """The order matters: contents entries, running heads, continued headings, then levels."""
     return normalise(merge_continued(drop_furniture(drop_toc_entries(elements))))
+
+
+def recover_annexes(elements: DataFrame, texts: DataFrame) -> DataFrame:
+    """The elements and, before the first of a page whose text layer (doc_id, page_no, text) begins with an annex title, a heading
+    of that title, unless the page begins with it or with another annex heading. Its place is one before the page's first."""
+    line = F.trim(F.regexp_extract(F.coalesce("text", F.lit("")), r"(?U)^\s*([^\n\r]*)", 1))
+    first = texts.select("doc_id", "page_no", line.alias("annex")).where((F.col("annex") != "") & num.is_annex(F.col("annex")) & (num.rank(F.col("annex"), F.lit("heading_1")) == 1))
+    heads = elements.groupBy("doc_id", "page_no").agg(F.min_by(F.struct("pos", "type", "content"), "pos").alias("e"))
+    said = F.trim(F.coalesce("e.content", F.lit("")))
+    new = heads.join(first, ["doc_id", "page_no"]).where(~said.startswith(F.left("annex", F.lit(10))) & (num.rank(said, F.col("e.type")) != 1))
+    shown = {"pos": (F.col("e.pos") - 1).cast(elements.schema["pos"].dataType), "type": F.lit("heading_1"), "content": F.col("annex"), "doc_id": F.col("doc_id"), "page_no": F.col("page_no")}
+    return elements.unionByName(new.select(*[shown.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in elements.schema.fields]))

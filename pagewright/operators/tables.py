@@ -50,11 +50,12 @@ def facts(elements: DataFrame) -> DataFrame:
 
 def repair(elements: DataFrame) -> DataFrame:
     """The elements with each table repaired; a split gives two rows, told apart by part."""
-    tables = elements.where("type = 'table'").withColumn("__r", repaired("content", "caption"))
-    done = tables.select(*[c for c in elements.columns if c not in ("content", "caption")], F.posexplode("__r.parts").alias("part", "__p"), F.col("__r.issues").alias("issues"))
-    done = done.select(*[F.col(f"__p.{c}").alias(c) if c in ("content", "caption") else F.col(c) for c in elements.columns], "part", "issues")
-    rest = elements.where("NOT type <=> 'table'").withColumn("part", F.lit(0)).withColumn("issues", F.expr("cast(array() as array<string>)"))
-    return done.unionByName(rest)
+    table, fields = F.col("type").eqNullSafe("table"), ("content", "caption")
+    e = elements.withColumn("__r", repaired(*[F.when(table, F.col(c)) for c in fields]))
+    parts = F.when(table, F.col("__r.parts")).otherwise(F.array(F.struct(*fields)))
+    issues = F.when(table, F.col("__r.issues")).otherwise(F.expr("cast(array() as array<string>)"))
+    done = e.select(*[c for c in elements.columns if c not in fields], F.posexplode(parts).alias("part", "__p"), issues.alias("issues"))
+    return done.select(*[F.col(f"__p.{c}").alias(c) if c in fields else F.col(c) for c in elements.columns], "part", "issues")
 
 
 def native_match(elements: DataFrame, natives: DataFrame, least: float = 0.6) -> DataFrame:

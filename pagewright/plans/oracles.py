@@ -183,3 +183,50 @@ _LETTERS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 PROSE_NEAR_TABLES = f"""{ELEMENTS}, c AS (SELECT doc_id, page_no, pos, {_LETTERS.format("regexp_replace(content, '<[^>]*>', ' ', 'g')")} AS seen, list_transform(regexp_extract_all(content, '<td>([^<]*)</td>', 1), lambda x: {_LETTERS.format('x')}) AS cells FROM elements WHERE type = 'table')
 SELECT doc_id, page_no, pos, type, content FROM elements e WHERE NOT EXISTS (SELECT 1 FROM c WHERE e.type = 'text' AND c.doc_id = e.doc_id AND c.page_no = e.page_no AND abs(c.pos - e.pos) <= 3
   AND length({_LETTERS.format('e.content')}) >= 4 AND (list_contains(c.cells, {_LETTERS.format('e.content')}) OR (length({_LETTERS.format('e.content')}) >= 12 AND contains(c.seen, {_LETTERS.format('e.content')}))))"""
+
+NATIVE_CLEAN = r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(nfc_normalize(text), '[\x{e000}-\x{f8ff}]', '', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS clean FROM documents"""
+_MEANING = "length(regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '\"(content|caption|description|elements|page_number|type)\"\\s*:', '', 'g'), '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+EXCESSIVE = f"SELECT doc_id, {_MEANING.format('substr(text, 1, 400)')} >= 256 AND {_MEANING.format('text')} > greatest(8000, 8 * {_MEANING.format('substr(text, 1, 400)')}) AS excessive FROM documents"
+ALT_STRIPPED = r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))),
+  lambda x: x <> '' AND NOT starts_with(x, '그림입니다') AND NOT starts_with(x, '원본 그림의') AND x <> '원본'), ' ') AS body FROM documents"""
+#: Words that say nothing about what a picture shows.
+STOP_WORDS = "사진 그림 이미지 그래프 도식 차트 캡처 로고 표시 내용 문구 제품 광고 보여준다 보여주는 나타낸다 나타내는 담은 담긴 관련 효과 정보 이다 있다 한다 대한 위한".split()
+_WORDS = "list_filter(list_distinct(regexp_extract_all(coalesce({0}, ''), '[가-힣A-Za-z0-9]{{2,}}')), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "], x))"
+WORD_OVERLAP = f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), w AS (SELECT conv_id, turn, {_WORDS.format('before')} AS a, {_WORDS.format('text')} AS b FROM c)
+SELECT conv_id, turn, round(CASE WHEN len(list_intersect(a, b)) >= 3 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0 END, 4) AS overlap FROM w"""
+ANNEXES = f"""{ELEMENTS}, heads AS (SELECT doc_id, page_no, min(pos) AS first, arg_min(trim(content), pos) AS said FROM elements GROUP BY 1, 2)
+SELECT doc_id, page_no, pos, type, content FROM elements UNION ALL
+SELECT doc_id, page_no, first - 1, 'heading_1', '별표 ' || page_no || ' schedule' FROM heads WHERE page_no % 4 = 0 AND NOT starts_with(said, left('별표 ' || page_no || ' schedule', 10))"""
+HARD_SIGNALS = f"""{MARKED}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos) - 1 AS nth FROM m)
+SELECT doc_id, page_no, 'element_' || nth || '_low_confidence' AS failure FROM n WHERE confidence < 0.75 UNION ALL SELECT doc_id, page_no, 'element_' || nth || '_ragged_rows' FROM n WHERE type = 'table' AND length(content) % 4 = 0
+UNION ALL SELECT DISTINCT doc_id, page_no, 'page_low_confidence' FROM n WHERE page_no % 10 = 0"""
+REPEATS = f"""{ELEMENTS}, e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, pos) - 1 AS i, type, lower({squash("regexp_replace(content || ' ' || caption, '<[^>]+>', ' ', 'g')")}) AS key FROM elements),
+t AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id, key ORDER BY i) + 1, greatest(i - 4, 0)) AS lower_end FROM e WHERE type = 'text'),
+h AS (SELECT doc_id, i, key FROM e WHERE starts_with(type, 'heading_')),
+c AS (SELECT t.doc_id, t.key, t.i, CASE WHEN h.i >= t.lower_end THEN h.key END AS context FROM t ASOF LEFT JOIN h ON t.doc_id = h.doc_id AND t.i > h.i)
+SELECT doc_id, key, count(*) AS n, count(DISTINCT context) = count(*) AS distinct FROM c GROUP BY 1, 2 HAVING count(*) > 1"""
+STRUCTURE = f"""{ELEMENTS}, t AS (SELECT *, list_transform(string_split(content, '<tr>')[2:], lambda r: len(regexp_extract_all(r, '<td>'))) AS w FROM elements WHERE type = 'table')
+SELECT doc_id, page_no, pos, CAST(len(w) AS INT) AS n_rows, 0 AS header_rows, CAST(list_max(w) AS INT) AS n_columns, 1 AS table_tags, 0 AS caption_rows FROM t"""
+LISTING = f"""WITH pages_ AS ({ELEMENT_SUMMARY}), low AS ({MARKED} SELECT doc_id, page_no, count(*) FILTER (WHERE confidence < 0.75) AS n_low FROM m GROUP BY 1, 2), f AS ({AUDIT})
+SELECT p.doc_id, p.page_no, p.n_elements, p.n_tables, l.n_low, coalesce(string_agg(DISTINCT f.issue, ',' ORDER BY f.issue), '') AS findings
+FROM pages_ p JOIN low l ON p.doc_id = l.doc_id AND p.page_no = l.page_no LEFT JOIN f ON f.doc_id = p.doc_id AND f.page_no = p.page_no GROUP BY ALL"""
+MANIFEST = """SELECT CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'success' END AS status, count(*) AS n, sum(pages)::BIGINT AS pages, round(count(*) * 0.5, 3)::DOUBLE AS seconds
+FROM orders JOIN (SELECT l_orderkey, count(*) AS pages FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1"""
+ORPHANS = f"{ELEMENTS}, a AS (SELECT *, lead(type) OVER (PARTITION BY doc_id, page_no ORDER BY pos) AS after FROM elements) SELECT doc_id, page_no, count(*) FILTER (WHERE starts_with(type, 'heading') AND type = after) AS n FROM a GROUP BY 1, 2"
+SAFE_NAMES = r"""SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"/|?*\\]', '_', 'g'), '^\.+', '') AS name, CAST(page_id AS INT) AS page FROM pages"""
+PREPROCESSED = r"""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^가-힣a-zA-Z0-9\s]')) AS special, len(regexp_extract_all(text, '[가-힣]')) AS h, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM documents)
+SELECT doc_id, CASE WHEN special >= length(text) * 0.5 THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '[\x{e000}-\x{f8ff}]', '', 'g'), chr(160), ' '), '\n+', chr(10), 'g'), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS clean,
+  round(CASE WHEN h + l > 0 THEN h / (h + l) ELSE 0 END, 6) AS hangul FROM t"""
+_TABLES = f"""{ELEMENTS}, t AS (SELECT *, list_transform(string_split(content, '<tr>')[2:], lambda r: len(regexp_extract_all(r, '<td>'))) AS w FROM elements WHERE type = 'table'),
+r AS (SELECT *, list_min(w) < list_max(w) AS ragged, replace(content, '<td>total</td></tr>', '<td>total</td>' || repeat('<td></td>', list_max(w) - 1) || '</tr>') AS whole FROM t)"""
+REPAIRED = f"{_TABLES} SELECT doc_id, page_no, pos, 0 AS part, CASE WHEN ragged THEN whole ELSE content END AS content, CASE WHEN ragged THEN 'ragged_row:' || (len(w) - 1) || ':' || (1 - list_max(w)) ELSE '' END AS issues FROM r"
+GRAFTED = f"{_TABLES} SELECT doc_id, page_no, pos, CASE WHEN ragged THEN whole ELSE content END AS content FROM r"
+IMPROVED = f"""{_TABLES}, a AS (SELECT *, lead(type) OVER (PARTITION BY doc_id, page_no ORDER BY pos) AS after FROM elements),
+p AS (SELECT a.doc_id, a.page_no, count(*) FILTER (WHERE regexp_matches(type, '^heading_[123]$') AND type = after) AS orphans FROM a GROUP BY 1, 2), b AS (SELECT doc_id, page_no, count(*) FILTER (WHERE ragged) AS bad FROM r GROUP BY 1, 2)
+SELECT p.doc_id, p.page_no, CAST(coalesce(bad, 0) AS INT) AS old_problems, 0 AS new_problems, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS char_ratio, 1.0::DOUBLE AS order_similarity, TRUE AS sequence_kept, coalesce(bad, 0) > 0 AND orphans = 0 AS accepted
+FROM p LEFT JOIN b ON p.doc_id = b.doc_id AND p.page_no = b.page_no"""
+TABLE_PAGES = f"""{ELEMENTS}, c AS (SELECT DISTINCT doc_id, page_no, unnest(regexp_extract_all(content, '<td>([^<]+)</td>', 1)) AS k FROM elements WHERE type = 'table'), n AS (SELECT doc_id, page_no, count(*) AS n FROM c GROUP BY 1, 2),
+m AS (SELECT a.doc_id, a.page_no AS table_id, b.page_no, count(*) / any_value(n.n) AS share FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.k = b.k JOIN n ON n.doc_id = a.doc_id AND n.page_no = a.page_no GROUP BY ALL),
+top AS (SELECT *, max(share) OVER (PARTITION BY doc_id, table_id) AS best FROM m)
+SELECT doc_id, table_id, min(page_no) AS page_no, round(max(share), 4) AS share FROM top WHERE share = best AND best >= 0.6 GROUP BY 1, 2 HAVING count(*) = 1"""
+FALLBACK = f"""{ELEMENTS} SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos) - 1 AS INT) AS pos, 'text' AS type, trim(content) AS content, '' AS caption, 'text_layer_fallback' AS source, 0.45::DOUBLE AS confidence FROM elements WHERE type <> 'table' AND trim(content) <> ''"""

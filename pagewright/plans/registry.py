@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import chunks, elements, evidence, headings, layout, quality, tables
+from pagewright.operators import chunks, elements, evidence, flow, headings, layout, quality, review, tables
 from pagewright.plans import oracles as o
 from pagewright.sources import rendered
 
@@ -134,6 +134,77 @@ def reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reassigned_only(e, moved)
 
 
+def word_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each turn of a conversation repeats the one before."""
+    c = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    stop = F.array(*[F.lit(w) for w in o.STOP_WORDS])
+    return c.select("conv_id", "turn", F.round(T.word_overlap(F.col("before"), F.col("text"), stop), 4).alias("overlap"))
+
+
+def annexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered pages whose text layer begins with an annex title on every fourth page."""
+    e = rendered.elements(spark, sf_dir)
+    n = F.col("page_no")
+    line = F.when(n % 4 == 0, F.concat(F.lit("\n  별표 "), n.cast("string"), F.lit(" schedule\nbody"))).otherwise("text of the page")
+    texts = e.select("doc_id", "page_no").distinct().withColumn("text", line)
+    return headings.recover_annexes(e, texts).select("doc_id", "page_no", "pos", "type", "content")
+
+
+def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked elements, tables of which some have hard issues, every tenth page low as a whole."""
+    hard = F.when((F.col("type") == "table") & (F.length("content") % 4 == 0), F.array(F.lit("ragged_rows:2"), F.lit("th_tags_present"))).otherwise(F.col("issues"))
+    e = marked(spark, sf_dir).withColumn("issues", hard)
+    return review.hard_signals(e, e.where("page_no % 10 = 0").select("doc_id", "page_no"))
+
+
+def repeats_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that a document repeats, each document taken as one page."""
+    w = Window.partitionBy("doc_id").orderBy("page_no", "pos")
+    whole = rendered.elements(spark, sf_dir).withColumn("pos", F.row_number().over(w)).withColumn("page_no", F.lit(1))
+    return review.distinct_contexts(whole, "text").drop("page_no")
+
+
+def mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered elements with their tables repaired."""
+    return tables.repair(rendered.elements(spark, sf_dir)).drop("part", "issues")
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.repair(rendered.elements(spark, sf_dir)).where("type = 'table'")
+    return found.select("doc_id", "page_no", "pos", "part", "content", F.array_join("issues", ",").alias("issues"))
+
+
+def grafted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.graft(rendered.elements(spark, sf_dir), mended(spark, sf_dir)).where("type = 'table'").select("doc_id", "page_no", "pos", "content")
+
+
+def table_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which page of its document holds the cells of each rendered table."""
+    cells = rendered.elements(spark, sf_dir).where("type = 'table'").select("doc_id", "page_no", F.explode(tables.cell_keys("content")).alias("key"))
+    return layout.unique_page(cells.withColumnRenamed("page_no", "table_id"), cells.distinct()).select("doc_id", "table_id", "page_no", F.round("share", 4).alias("share"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text layer of rendered pages: the texts of elements but tables, each a paragraph."""
+    e = rendered.elements(spark, sf_dir).where("type <> 'table'")
+    return e.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n\n").alias("source_text"))
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page pipeline over regions, their elements' own texts as the text layer."""
+    e = rendered.region_elements(spark, sf_dir)
+    said = F.regexp_replace("content", "<[^>]+>", " ")
+    texts = e.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]), "\n").alias("source_text"))
+    return flow.clean_pages(e, texts).select("doc_id", "page_no", "pos", "type", "content", "caption", "source", "confidence")
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of a run: their items as pages."""
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("pages"))
+    runs = read(spark, sf_dir, "orders").join(n, "o_orderkey").select(F.when(F.col("o_orderstatus") == "F", "failed").otherwise("success").alias("status"), "pages", F.lit(0.5).alias("seconds"))
+    return review.manifest(runs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rendered_elements": rendered.elements,
     "chunk_toc": shown(chunks.by_section),
@@ -176,6 +247,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "carry_forward": carried,
     "page_ranges": page_ranges,
     "missing_pages": missing,
+    "native_clean": lambda s, d: read(s, d, "documents").select("doc_id", T.clean_native(F.col("text")).alias("clean")),
+    "excessive_output": lambda s, d: read(s, d, "documents").select("doc_id", T.excessive_output(F.col("text"), F.substring("text", 1, 400)).alias("excessive")),
+    "alt_stripped": lambda s, d: read(s, d, "documents").select("doc_id", T.without_alt(F.col("text")).alias("body")),
+    "word_overlap": word_overlaps,
+    "annex_recovered": annexes,
+    "hard_signals": signalled,
+    "repeat_contexts": repeats_in_context,
+    "structure_facts": lambda s, d: review.structure_facts(rendered.elements(s, d)),
+    "page_listing": lambda s, d: review.page_listing(marked(s, d), quality.audit(marked(s, d))),
+    "run_manifest": manifest,
+    "table_repair": repaired,
+    "table_graft": grafted,
+    "page_improvement": lambda s, d: review.improvements(rendered.elements(s, d), mended(s, d)),
+    "table_pages": table_homes,
+    "fallback_pages": lambda s, d: flow.fallback_pages(page_texts(s, d)),
+    "clean_pages": cleaned,
+    "safe_names": lambda s, d: read(s, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"), T.file_stem_number(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit("_structured.json"))).alias("page")),
+    "preprocessed": lambda s, d: read(s, d, "documents").select("doc_id", T.preprocess(F.col("text")).alias("clean"), F.round(T.hangul_share(F.col("text")), 6).alias("hangul")),
+    "orphan_headings": shown(layout.orphan_headings),
 }
 ORACLES: dict[str, str] = {
     "rendered_elements": rendered.SQL,
@@ -216,4 +306,22 @@ ORACLES: dict[str, str] = {
     "carry_forward": o.CARRIED,
     "page_ranges": o.PAGE_RANGES,
     "missing_pages": o.MISSING,
+    "native_clean": o.NATIVE_CLEAN,
+    "excessive_output": o.EXCESSIVE,
+    "alt_stripped": o.ALT_STRIPPED,
+    "word_overlap": o.WORD_OVERLAP,
+    "annex_recovered": o.ANNEXES,
+    "hard_signals": o.HARD_SIGNALS,
+    "repeat_contexts": o.REPEATS,
+    "structure_facts": o.STRUCTURE,
+    "page_listing": o.LISTING,
+    "run_manifest": o.MANIFEST,
+    "table_repair": o.REPAIRED,
+    "table_graft": o.GRAFTED,
+    "page_improvement": o.IMPROVED,
+    "table_pages": o.TABLE_PAGES,
+    "fallback_pages": o.FALLBACK,
+    "orphan_headings": o.ORPHANS,
+    "safe_names": o.SAFE_NAMES,
+    "preprocessed": o.PREPROCESSED,
 }

@@ -311,3 +311,10 @@ def load_pages(spark: SparkSession, structured: str, texts: str | None = None) -
     layer = spark.read.text(texts, wholetext=True, recursiveFileLookup=True, pathGlobFilter="page_*.txt").select(F.trim("value").alias("content"), F.input_file_name().alias("p"))
     layer = layer.select(*where, "content").where("content <> ''").join(parsed.where("e IS NOT NULL").select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
     return out.unionByName(layer.select("doc_id", "page_no", F.lit(0).alias("pos"), F.lit("text").alias("type"), "content", F.lit(None).cast("string").alias("caption")))
+
+
+def load_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, seq, title, page) of the tables of contents in metadata.json files below a folder per document; none where it is broken."""
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metadata.json").select("value", F.input_file_name().alias("p"))
+    toc = F.from_json("value", "struct<toc:array<struct<title:string,page:string>>>")["toc"]
+    return raw.select(F.regexp_extract("p", "([^/]+)/[^/]+$", 1).alias("doc_id"), F.posexplode(toc).alias("seq", "t")).select("doc_id", "seq", "t.title", "t.page")
