@@ -38,7 +38,6 @@ from pagewright.llm.common import free, pieces, prepare, text_buffers
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "IBAN", "SSN")
 GENERATORS = [
     ("EMAIL", re.compile(r"[\w.%+'-]{1,64}@[\w.-]{1,253}")),
-    ("EMAIL", re.compile(r"[\w%+-]+(?:\.[\w%+-]+){0,5}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")),
     ("PHONE", re.compile(r"\+\d[\d ().-]{6,20}\d")),
     ("PHONE", re.compile(r"(?<![\d.])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)")),
     ("PHONE", re.compile(r"(?<![\d.-])(?:\+?\d{1,3}[ .-])?\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![\d.-]*\d)")),
@@ -50,6 +49,8 @@ GENERATORS = [
     ("IBAN", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("SSN", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
 ]
+#: An address's parts before and after its at sign; the first reads the same backwards.
+LOCAL, DOMAIN = re.compile(r"[\w%+-]+(?:\.[\w%+-]+){0,5}"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
 HINTS = [re.compile(x, re.I) for x in (r"e-?mail|mailto|contact", r"tel|phone|call|fax|mobil", r"\bip\b|host|server|addr", r"card|visa|pay|credit", r"iban|account|konto|bank", r"ssn|social", r"version|\bv\b|release|build|chapter|section", r"order|invoice|\bid\b|serial|number|ref|isbn|item|sku")]
 ROUNDS, DEPTH, RATE, LEAF, BINS, SEED = 60, 3, 0.25, 8, 32, 11
 EXAMPLES = 3000
@@ -69,9 +70,21 @@ def iban_valid(span: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Where LOCAL, an at sign and DOMAIN stand, looked for from each at sign, so that a long run is read once."""
+    found, at = [], 0
+    while (sign := text.find("@", at)) >= 0:
+        local, domain = LOCAL.match(text[at:sign][::-1]), DOMAIN.match(text, sign + 1)
+        at = sign + 1
+        if local and domain:
+            found.append((sign - local.end(), domain.end()))
+            at = domain.end()
+    return found
+
+
 def propose(text: str) -> list[tuple[int, int, str]]:
     """All spans of all generators, each once, in order."""
-    found = set()
+    found = {(lo, hi, "EMAIL") for lo, hi in addresses(text)}
     for kind, pattern in GENERATORS:
         for m in pattern.finditer(text):
             found.add((m.start(), m.end(), kind))
