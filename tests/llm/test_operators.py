@@ -520,6 +520,46 @@ def test_pii_overlaps_are_settled():
     assert [s[:3] for s in pii.choose("x" * 12, spans, np.array([0.9, 0.9, 0.1]), limits)] == [(3, 9, "PHONE")]
 
 
+def brute_redaction(text, trees, limits):
+    """Spans judged one by one, the best of those left taken until none is left."""
+    judged = [(float(trees.probability(np.array([pii.describe(text, *s)]))[0]), *s) for s in pii.propose(text)]
+    left = [(-round(q, 6), a - b, a, b, k) for q, a, b, k in judged if q >= limits[k]]
+    taken = []
+    while left:
+        best = min(left)
+        taken.append((best[2], best[3], best[4], -best[0]))
+        left = [x for x in left if x[3] <= best[2] or x[2] >= best[3]]
+    for a, b, kind, _ in sorted(taken, reverse=True):
+        text = text[:a] + f"[{kind}]" + text[b:]
+    return text, sorted(taken)
+
+
+def test_pii_query_is_brute_force(spark):
+    texts = [t for t, _ in pii.examples(150, seed=77)] + [r[1] for r in ROWS if r[1]]
+    # Long texts of many spans, over the edges of pieces, and digits and at signs of other scripts.
+    texts += [" ".join(texts[:100]), "\n".join(texts * 8), "x" * 1_100_000 + " a.b@mail.example.com", "٣٤٥ ＠ ５５５", "漢字 jo@mail7.example.org 😀 +1 (499) 555-6503"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    trees, limits = pii.model()
+    found = {r["doc_id"]: (r["redacted"], [tuple(s) for s in r["spans"]]) for r in pii.redact(df).collect()}
+    assert len(found) == len(texts) and sum(bool(s) for _, s in found.values()) > 100
+    for i, text in enumerate(texts):
+        assert found[i] == brute_redaction(text, trees, limits)
+
+
+def test_pii_addresses_are_those_of_one_pattern():
+    whole = re.compile(pii.LOCAL.pattern + "@" + pii.DOMAIN.pattern)
+    r = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(r.choice("ab.@-é com") for _ in range(r.randint(1, 24))) + r.choice(["", "@x.com", "@a.b@c.de"])
+        assert pii.addresses(text) == [m.span() for m in whole.finditer(text)]
+
+
+def test_pii_long_runs_take_linear_time():
+    began = time.time()
+    assert pii.propose("x" * 1_000_000 + " " + "y." * 200_000 + " jo@mail.example.com")[-1] == (1_400_002, 1_400_021, "EMAIL")
+    assert time.time() - began < 20
+
+
 def test_pii_rows(docs, none):
     found = defaultdict(list)
     for r in rows(pii.redact(docs)):
@@ -583,6 +623,68 @@ def test_factorisation_machine_is_all_pairs():
     assert got[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-5)
 
 
+def slow_fit(rows, good, max_false_rejects):
+    """The fit over (feature, value) lists, row by row, interactions as sums over all pairs."""
+    r = np.random.default_rng(quality.SEED)
+    v = (r.standard_normal((quality.SIZE, quality.RANK)) * 0.05).astype(np.float32).astype(float)
+    w, w0, seen0, seen1, seen2 = defaultdict(float), 0.0, 1e-3, defaultdict(lambda: 1e-3), defaultdict(lambda: np.full(quality.RANK, 1e-3))
+
+    def probability(row):
+        z = w0 + sum(w[i] * x for i, x in row) + sum(float(v[i] @ v[j]) * x * y for a, (i, x) in enumerate(row) for j, y in row[a + 1 :])
+        return 1 / (1 + math.exp(-z))
+
+    train = np.array([i for i in range(len(rows)) if i % 4 < 3])
+    for _ in range(quality.EPOCHS):
+        r.shuffle(train)
+        for lo in range(0, len(train), quality.BATCH):
+            batch = train[lo : lo + quality.BATCH]
+            slopes = [(probability(rows[b]) - good[b]) / len(batch) for b in batch]
+            d1, d2 = {}, {}
+            for b, slope in zip(batch, slopes):
+                for i, x in rows[b]:
+                    others = sum((v[j] * y for j, y in rows[b] if j != i), np.zeros(quality.RANK))
+                    d1[i], d2[i] = d1.get(i, 0.0) + slope * x, d2.get(i, 0) + slope * x * others
+            seen0 += sum(slopes) ** 2
+            w0 -= quality.RATE * sum(slopes) / math.sqrt(seen0)
+            for i in d1:
+                g1, g2 = d1[i] + quality.DECAY * w[i], d2[i] + quality.DECAY * v[i]
+                seen1[i] += g1**2
+                seen2[i] = seen2[i] + g2**2
+                w[i] -= quality.RATE * g1 / math.sqrt(seen1[i])
+                v[i] -= quality.RATE * g2 / np.sqrt(seen2[i])
+    of_good = sorted(probability(rows[b]) for b in range(len(rows)) if b % 4 == 3 and good[b])
+    return [probability(x) for x in rows], min(0.5, of_good[int(max_false_rejects * len(of_good))])
+
+
+def test_classifier_fit_is_all_pairs(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    monkeypatch.setattr(quality, "BATCH", 8)
+    r = random.Random(8)
+    made = [[(i, r.choice([0.25, 0.5, 1.0])) for i in r.sample(range(40), r.randint(1, 7))] for _ in range(120)]
+    good = np.array([float(sum(i < 20 for i, _ in row) * 2 > len(row)) for row in made])
+    at = np.cumsum([0, *map(len, made)])
+    index, value = np.array([i for row in made for i, _ in row]), np.array([x for row in made for _, x in row], np.float32)
+    want, threshold = slow_fit(made, good, 0.1)
+    model = quality.fit(index, value, at, good, 0.1)
+    assert quality.score(model, index, value, at) == pytest.approx(want, abs=2e-3)
+    assert model.threshold == pytest.approx(threshold, abs=2e-3)
+
+
+def test_classifier_query_scores_every_row_by_itself(spark, docs):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (9, 0), (11, 1), (12, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    want = []
+    for d, text, lang, source in ROWS:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        index, value, _ = quality.features(raw, np.array([0, len(raw)]), [lang], [source])
+        pairs = 0.5 * sum(float(model.factors[i] @ model.factors[index].T @ value) * x - float(model.factors[i] @ model.factors[i]) * x * x for i, x in zip(index, value))
+        p = 1 / (1 + math.exp(-(model.bias + float(model.linear[index] @ value) + pairs)))
+        want.append((-1 if d is None else d, p, p >= model.threshold))
+    got = sorted((-1 if d is None else d, p, keep) for d, p, keep in rows(quality.classify(docs, labels)))
+    for (d, p, keep), (e, q, kept) in zip(got, sorted(want), strict=True):
+        assert d == e and p == pytest.approx(q, abs=1e-4) and (keep == kept or abs(q - model.threshold) < 1e-4)
+
+
 def test_classifier_rows(spark, docs, none):
     good = [(i, prose(60, i), "en", "s") for i in range(300)]
     junk = [(1000 + i, " ".join(w.upper() + "!!" for w in prose(60, i).split()), "en", "s") for i in range(100)]
