@@ -74,6 +74,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows, written to the folder as Parquet and read again; plans take their size from the files."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free(taken: Iterable[str], name: str) -> str:
     """The name, or one like it that none of those taken is, in any letter case."""
     low = {t.lower() for t in taken}

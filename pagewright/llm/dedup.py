@@ -28,6 +28,8 @@ and text it keeps that with the least hash of all columns. An empty table gives
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, mix, pieces, prepare, ragged, text_buffers, word_hashes
+from pagewright.llm.common import cut, mix, pieces, prepare, ragged, remove, shared_folder, stored, text_buffers, word_hashes
 
 DOMAIN_BITS = 20
 WORDS = 3
@@ -176,18 +178,31 @@ def maybe(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an undirected graph of columns a and b: least node reached, by passing minima on and jumping along them."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("least", "a").alias("least")))
-    while True:
-        seen = both.join(label.select(F.col("a").alias("b"), F.col("least").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = label.join(seen, "a").select("a", F.least("least", "near").alias("next"), "least")
-        jump = label.select(F.col("a").alias("next"), F.col("least").alias("far"))
-        moved = cut(step.join(jump, "next").select("a", F.least("next", "far").alias("new"), "least"))
-        changed = moved.where("new <> least").limit(1).count()
-        label = moved.select("a", F.col("new").alias("least"))
-        if not changed:
-            return label.select(F.col("a").alias("node"), F.col("least").alias("component"))
+    """(node, component) of an undirected graph of columns a and b: least node reached.
+
+    In a round each node takes the least label beside it, tells it to the node it had as its label, and jumps to what its new
+    label was labelled with; so rounds grow with the logarithm of a chain's length. Each round's labels are stored in files,
+    for a plan over a checkpoint takes over its estimate of size: two joins a round would double that number's digits.
+    """
+    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
+    try:
+        both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/edges")
+        label = stored(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("least", "a").alias("least")), f"{folder}/0")
+        none = F.lit(None).cast(label.schema["least"].dataType)
+        for done in itertools.count(1):
+            seen = both.join(label.select(F.col("a").alias("b"), F.col("least").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
+            step = label.join(seen, "a")
+            told = F.array(F.struct("a", F.least("near", "least").alias("next"), "least"), F.struct(F.col("least").alias("a"), F.col("near").alias("next"), none.alias("least")))
+            step = step.select(F.inline(told)).groupBy("a").agg(F.min("next").alias("next"), F.max("least").alias("least"))
+            jump = label.select(F.col("a").alias("next"), F.col("least").alias("far"))
+            moved = stored(step.join(jump, "next").select("a", F.least("next", "far").alias("new"), "least"), f"{folder}/{done}")
+            remove(spark, f"{folder}/{done - 1}")
+            changed = moved.where("new <> least").limit(1).count()
+            label = moved.select("a", F.col("new").alias("least"))
+            if not changed:
+                return cut(label.select(F.col("a").alias("node"), F.col("least").alias("component")))
+    finally:
+        remove(spark, folder)
 
 
 def shared_by(ids: list[np.ndarray], i: int, others: np.ndarray, seen: np.ndarray) -> np.ndarray:

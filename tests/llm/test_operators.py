@@ -439,6 +439,21 @@ def test_near_duplicates_are_brute_force(spark, items, limits):
     assert max(n for _, n in want.values()) > 1
 
 
+def test_components_of_chains_take_few_rounds_and_plans_stay_small(spark, monkeypatch):
+    """The least node at the end of a chain whose nodes have long agreed on another: one step a round would take 20."""
+    sizes, stored = [], dedup.stored
+
+    def noted(df, folder):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return stored(df, folder)
+
+    monkeypatch.setattr(dedup, "stored", noted)
+    edges = [(1, 10), *((10 + i, 11 + i) for i in range(20)), (30, 0), (50, 40), (-7, -8)]
+    found = dedup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == {0: 0, 1: 0, **{10 + i: 0 for i in range(21)}, 40: 40, 50: 40, -7: -8, -8: -8}
+    assert len(sizes) <= 2 + 8 and max(sizes[1:]) < 128
+
+
 def test_signature_is_circulant():
     hashes = np.arange(50, dtype=np.uint64) * np.uint64(977)
     first, second = dedup.permutations(16)
