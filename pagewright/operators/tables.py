@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import grid
 from pagewright.operators import native
+from pagewright.operators.folds import fold
 
 WHERE = ("doc_id", "page_no", "pos")
 _FACTS = T.StructType([T.StructField("n_rows", T.IntegerType()), T.StructField("n_cols", T.IntegerType()), T.StructField("confidence", T.DoubleType()), T.StructField("issues", T.StringType())])
@@ -21,10 +26,19 @@ def assessed(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(r, c, p, ",".join(i)) for r, c, p, i in map(grid.assess, html)], columns=["n_rows", "n_cols", "confidence", "issues"])
 
 
-@F.pandas_udf(_REPAIRED)
-def repaired(html: pd.Series, caption: pd.Series) -> pd.DataFrame:
-    out = [grid.repair(h, c) for h, c in zip(html, caption)]
-    return pd.DataFrame({"parts": [[{"content": a, "caption": b} for a, b in p] for p, _, _ in out], "again": [a for _, a, _ in out], "issues": [i for _, _, i in out]})
+@F.arrow_udf(_REPAIRED)
+def repaired(html: pa.Array, caption: pa.Array) -> pa.Array:
+    """grid.repair of each table; nothing where there is no HTML."""
+    found = [grid.repair(h, c) if h is not None else None for h, c in zip(html.to_pylist(), caption.to_pylist())]
+    contents, captions, ends = [], [], [0]
+    for f in found:
+        for content, title in f[0] if f else ((None, None),):
+            contents.append(content)
+            captions.append(title)
+        ends.append(len(contents))
+    parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(contents, pa.string()), pa.array(captions, pa.string())], ["content", "caption"]))
+    again, issues = pa.array([bool(f and f[1]) for f in found], pa.bool_()), pa.array([f[2] if f else [] for f in found], pa.list_(pa.string()))
+    return pa.StructArray.from_arrays([parts, again, issues], ["parts", "again", "issues"])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -58,18 +72,59 @@ def repair(elements: DataFrame) -> DataFrame:
     return done.select(*[F.col(f"__p.{c}").alias(c) if c in fields else F.col(c) for c in elements.columns], "part", "issues")
 
 
+def repair_sides(elements: DataFrame) -> DataFrame:
+    """The elements before and after repair in one set of rows, made once: side 0 before, 1 after, 2 both (unchanged); part tells
+    the tables of a split apart."""
+    same = F.array(F.struct(F.lit(2).alias("side"), F.col("content"), F.col("caption")))
+    old = F.array(F.struct(F.lit(0).alias("side"), F.col("content"), F.col("caption")))
+    table = F.col("type").eqNullSafe("table")
+    e = elements.withColumn("__p", repaired(F.when(table, F.col("content")), F.when(table, F.col("caption")))["parts"])
+    left = ~table | F.col("content").isNull() | ((F.size("__p") == 1) & F.col("__p")[0]["content"].eqNullSafe(F.col("content")) & F.col("__p")[0]["caption"].eqNullSafe(F.col("caption")))
+    new = F.transform("__p", lambda x: F.struct(F.lit(1).alias("side"), x["content"].alias("content"), x["caption"].alias("caption")))
+    e = e.select(*[c for c in elements.columns if c not in ("content", "caption")], F.posexplode(F.when(left, same).otherwise(F.concat(old, new))).alias("part", "__s"))
+    return e.select(*[F.col(f"__s.{c}").alias(c) if c in ("content", "caption") else F.col(c) for c in elements.columns], "part", "__s.side")
+
+
+def _best_native(least: float) -> Callable[[list[tuple]], Iterator[tuple]]:
+    def each(rows: list[tuple]) -> Iterator[tuple]:
+        doc, mine, holders = rows[0][0], [], defaultdict(list)
+        if doc is None:
+            return
+        for _, page, pos, idx, wanted, offered, html in rows:
+            keys = grid.cell_keys(html)
+            if wanted and len(keys) >= 4:
+                mine.append((page, pos, keys))
+            if offered and len(keys) >= 2:
+                for key in keys:
+                    holders[key].append(idx)
+        for page, pos, keys in mine:
+            met: Counter = Counter()
+            for key in keys:
+                if key in holders:
+                    met.update(holders[key])
+            most = max(met.values(), default=0)
+            if most and most / len(keys) >= least:
+                yield doc, page, pos, min(i for i, n in met.items() if n == most), most / len(keys)
+
+    return each
+
+
+def matched_natives(rows: DataFrame, least: float = 0.6) -> DataFrame:
+    """native_match of (doc_id, page_no, pos, idx, wanted, offered, html): tables that are matched (wanted), natives (offered) or both."""
+    schema = T.StructType([*[rows.schema[c] for c in (*WHERE, "idx")], T.StructField("score", T.DoubleType())])
+    return fold(rows.select(*WHERE, "idx", "wanted", "offered", "html"), ["doc_id"], [], schema, _best_native(least))
+
+
 def native_match(elements: DataFrame, natives: DataFrame, least: float = 0.6) -> DataFrame:
     """(doc_id, page_no, pos, idx, score): for each table of four or more distinct cells the native table (doc_id, idx, html)
     that holds the largest share of them, the first of several; only from ``least`` up.
 
-    Cells meet in an equi-join, so no pair of tables without a common cell is made.
+    A document's tables meet in one task by way of their cells, so no pair of tables without a common cell is made.
     """
-    mine = elements.where("type = 'table'").select(*WHERE, cell_keys("content").alias("keys")).where("size(keys) >= 4")
-    mine = mine.select(*WHERE, F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    theirs = natives.select("doc_id", "idx", cell_keys("html").alias("keys")).where("size(keys) >= 2").select("doc_id", "idx", F.explode("keys").alias("key"))
-    scored = mine.join(theirs, ["doc_id", "key"]).groupBy(*WHERE, "idx").agg((F.count("*") / F.first("n")).alias("score"))
-    best = F.row_number().over(Window.partitionBy(*WHERE).orderBy(F.desc("score"), "idx"))
-    return scored.withColumn("__r", best).where((F.col("__r") == 1) & (F.col("score") >= least)).select(*WHERE, "idx", "score")
+    none = lambda df, *names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    mine = elements.where("type = 'table'").select(*WHERE, *none(natives, "idx"), F.lit(True).alias("wanted"), F.lit(False).alias("offered"), F.col("content").alias("html"))
+    theirs = natives.select("doc_id", *none(elements, "page_no", "pos"), "idx", F.lit(False).alias("wanted"), F.lit(True).alias("offered"), "html")
+    return matched_natives(mine.unionByName(theirs), least)
 
 
 @F.pandas_udf(T.StringType())
