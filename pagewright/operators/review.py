@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import grid
 from pagewright.operators.elements import squash
+from pagewright.operators.folds import fold
 
 PAGE = ("doc_id", "page_no")
 HARD_ISSUES = ("no_table", "empty_table", "ragged_rows", "nested_table", "quality_check_error")
@@ -50,18 +51,21 @@ def _plain(text: str | None) -> str:
 
 
 def _structure(html: str | None, caption: str | None) -> tuple | None:
-    tree = grid.parse(html)
-    table = next(tree.walk("table"), None)
-    if table is None:
+    plain = grid.plain_rows(html)
+    tree = grid.parse(html) if plain is None else None
+    table = next(tree.walk("table"), None) if tree else None
+    if table is None and plain is None:
         return None
-    rows = grid.rows_of(table)
-    cells = [grid.cells_of(r) for r in rows]
+    rows = grid.rows_of(table) if plain is None else plain
+    cells = [grid.cells_of(r) for r in rows] if plain is None else plain
     said, built, led = _plain(caption), "", 0
     for row in cells[:3] if said else []:
-        text = _plain(" ".join(c.text() for c in row))
+        text = _plain(" ".join(c.text() if plain is None else c for c in row))
         if not text or not said.startswith(built + text) or built == said:
             break
         built, led = built + text, led + 1
+    if plain is not None:
+        return len(rows), 0, max(map(len, cells), default=0), 1, led
     return len(rows), sum(any(c.tag == "th" for c in row) for row in cells), max((sum(grid.span(c, "colspan") for c in row) for row in cells), default=0), sum(1 for _ in tree.walk("table")), led
 
 
@@ -106,33 +110,35 @@ def manifest(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("n"), F.sum("pages").alias("pages"), F.round(F.sum("seconds"), 3).alias("seconds"))
 
 
-def _chunks(rows: pd.DataFrame) -> list[str]:
-    said = [grid.bare("".join(grid.parse(c).text()) if k == "table" else c).casefold() for k, c in zip(rows["type"], rows["content"])]
+def _chunks(rows: list[tuple]) -> list[str]:
+    said = [grid.bare(grid.said(c) if k == "table" else c).casefold() for k, c, _ in rows]
     return [s for s in said if s]
 
 
-def better(original: pd.DataFrame, candidate: pd.DataFrame, least: float = 0.75, order: float = 0.8, sequence: float = 0.98) -> dict:
+def better(original: list[tuple], candidate: list[tuple], least: float = 0.75, order: float = 0.8, sequence: float = 0.98) -> dict:
     """Whether a candidate page (rows of type, content, caption in order) improves on the original without losing from it, and by what."""
     from pagewright.operators import layout
 
     facts = {}
     for name, rows in (("old", original), ("new", candidate)):
-        tables = rows[rows["type"] == "table"]
-        bad = [bool(set(grid.assess(c)[3]) & set(BROKEN)) for c in tables["content"]]
-        kinds = rows["type"].tolist()
+        tables = [(content, caption) for kind, content, caption in rows if kind == "table"]
+        issues = [set(grid.assess(c)[3]) for c, _ in tables]
+        bad = [bool(i & set(BROKEN)) for i in issues]
+        kinds = [kind for kind, _, _ in rows]
         orphans = sum(a in ("heading_1", "heading_2", "heading_3") and a == b for a, b in zip(kinds, kinds[1:]))
-        nested = [grid.topology(c) for c, b in zip(tables["content"], bad) if b and "nested_table" in grid.assess(c)[3]]
+        nested = [grid.topology(c) for (c, _), i in zip(tables, issues) if "nested_table" in i]
         facts[name] = (tables, bad, orphans, _chunks(rows), nested)
     (old_tables, old_bad, old_orphans, old_chunks, old_nested), (new_tables, new_bad, new_orphans, new_chunks, _) = facts["old"], facts["new"]
-    coverage = sum(c in new_chunks for c in old_chunks) / max(1, len(old_chunks))
-    chars = len("".join(new_chunks)) / max(1, len("".join(old_chunks)))
-    similar = SequenceMatcher(None, "".join(old_chunks), "".join(new_chunks), autojunk=False).ratio()
+    there, old_text, new_text = set(new_chunks), "".join(old_chunks), "".join(new_chunks)
+    coverage = sum(c in there for c in old_chunks) / max(1, len(old_chunks))
+    chars = len(new_text) / max(1, len(old_text))
+    similar = grid.likeness(old_text, new_text)
     options = []
-    for content, caption, bad in zip(old_tables["content"], old_tables["caption"], old_bad):
+    for (content, caption), bad in zip(old_tables, old_bad):
         if bad:
-            found = [layout.metrics(content, c, caption, k) for c, k in zip(new_tables["content"], new_tables["caption"])]
+            found = [layout.metrics(content, c, caption, k) for c, k in new_tables]
             options.append({i for i, m in enumerate(found) if m[0] and m[4] >= sequence})
-    changed = not old_nested or not set(old_nested) & {grid.topology(c) for c in new_tables["content"]}
+    changed = not old_nested or not set(old_nested) & {grid.topology(c) for c, _ in new_tables}
     out = {"old_problems": sum(old_bad), "new_problems": sum(new_bad), "coverage": round(coverage, 4), "char_ratio": round(chars, 4), "order_similarity": round(similar, 4), "sequence_kept": grid.assign([sorted(o) for o in options]) is not None}
     fewer = 0 < out["old_problems"] > out["new_problems"] and len(new_tables) >= len(old_tables) and (old_orphans == 0 or new_orphans < old_orphans)
     out["accepted"] = bool(fewer and coverage >= least and chars >= least and similar >= order and out["sequence_kept"] and changed)
@@ -142,18 +148,24 @@ def better(original: pd.DataFrame, candidate: pd.DataFrame, least: float = 0.75,
 _GATE = "old_problems int, new_problems int, coverage double, char_ratio double, order_similarity double, sequence_kept boolean, accepted boolean"
 
 
-def improvements(original: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(doc_id, page_no, old_problems, new_problems, coverage, char_ratio, order_similarity, sequence_kept, accepted) of each page of both."""
-    kept = [*PAGE, "pos", "type", "content", "caption"]
+def _judged(rows: list[tuple]) -> Iterator[tuple]:
+    old, new = ([(kind, content or "", caption or "") for *_, side, kind, content, caption in rows if side != other] for other in (1, 0))
+    if old and new:
+        yield (*rows[0][:2], *better(old, new).values())
+
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[*PAGE, *[c.split()[0] for c in _GATE.split(", ")]])
-        found = better(*(x.sort_values("pos").fillna({"content": "", "caption": ""}) for x in (a, b)))
-        return pd.DataFrame([{**{c: a[c].iloc[0] for c in PAGE}, **found}])
+def judged_sides(sides: DataFrame) -> DataFrame:
+    """improvements of rows (doc_id, page_no, pos, part, side, type, content, caption) of both pages: side 0 of the original, 1 of the
+    candidate, 2 of both."""
+    gate = [T.StructField(n, {"int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}[k]) for n, k in (c.split() for c in _GATE.split(", "))]
+    rows = sides.select(*PAGE, "pos", "part", "side", "type", "content", "caption")
+    return fold(rows, list(PAGE), ["pos", "part"], T.StructType([*[sides.schema[c] for c in PAGE], *gate]), _judged)
 
-    schema = ", ".join(f"{c} {original.schema[c].dataType.simpleString()}" for c in PAGE) + ", " + _GATE
-    return original.select(*kept).groupBy(*PAGE).cogroup(candidate.select(*kept).groupBy(*PAGE)).applyInPandas(run, schema)
+
+def improvements(original: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(doc_id, page_no, old_problems, new_problems, coverage, char_ratio, order_similarity, sequence_kept, accepted) of each page of both."""
+    side = lambda df, n: df.select(*PAGE, "pos", F.lit(0).alias("part"), F.lit(n).alias("side"), "type", "content", "caption")
+    return judged_sides(side(original, 0).unionByName(side(candidate, 1)))
 
 
 def layout_score(runs: DataFrame, counts: DataFrame, ink: DataFrame) -> DataFrame:
