@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import grid
 from pagewright.operators.evidence import bare
+from pagewright.operators.folds import fold
 
 KEY = ("doc_id", "page_no")
 BULLETS = "•◦▪■□※"
@@ -45,15 +47,15 @@ def overlap(a: str, b: str) -> int:
 
 def metrics(old: str | None, new: str | None, old_caption: str | None = None, new_caption: str | None = None) -> tuple[bool, float, float, float, float]:
     """Eligible, score, recall and precision of characters, similarity of sequence of two tables."""
-    a, b = (bare(grid.parse(x).text()) for x in (old, new))
-    chunks = [{c for c in (bare(n.text()) for n in grid.parse(x).walk("td", "th")) if len(c) >= 2} for x in (old, new)]
+    a, b = (bare(grid.said(x)) for x in (old, new))
+    chunks = [{c for c in map(bare, grid.cell_texts(x)) if len(c) >= 2} for x in (old, new)]
     shared = overlap(a, b)
     recall, precision = shared / max(1, len(a)), shared / max(1, len(b))
     both = len(chunks[0] & chunks[1])
     chunk_recall, chunk_precision = both / max(1, len(chunks[0])), both / max(1, len(chunks[1]))
     x, y = bare(old_caption), bare(new_caption)
     caption = SequenceMatcher(None, x, y).ratio() if x and y else 0.0
-    sequence = SequenceMatcher(None, a, b, autojunk=False).ratio()
+    sequence = grid.likeness(a, b)
     total = sum(w * v for w, v in ((0.3, recall), (0.2, precision), (0.2, chunk_recall), (0.1, chunk_precision), (0.1, caption), (0.1, sequence)))
     _, _, sure, issues = grid.assess(new)
     fine = bool(a and b) and not {"ragged_rows", "nested_table", "no_table", "empty_table"} & set(issues) and sure >= 0.75
@@ -68,39 +70,87 @@ def table_metrics(old: pd.Series, new: pd.Series, old_caption: pd.Series, new_ca
     return pd.DataFrame([metrics(*x) for x in zip(old, new, old_caption, new_caption)], columns=_METRICS.names)
 
 
+def _graft(least_sequence: float) -> Callable[[list[tuple]], Iterator[tuple]]:
+    broken = {"ragged_rows", "nested_table", "empty_table"}
+
+    def each(rows: list[tuple]) -> Iterator[tuple]:
+        doc, page = rows[0][:2]
+        old, new = [r for r in rows if r[3] != 1], [r for r in rows if r[3] != 0]
+        pairs = []
+        for *_, pos, _, content, caption in old:
+            # Only a broken table takes a candidate.
+            if broken & set(grid.assess(content)[3]):
+                for *_, other, _, offered, title in new:
+                    ok, score, _, _, sequence = metrics(content, offered, caption, title)
+                    if ok and sequence >= least_sequence:
+                        pairs.append((score, pos, other, offered))
+        got, used = {}, set()
+        for _, pos, other, offered in sorted(pairs, key=lambda p: p[:3], reverse=True):
+            if pos not in got and other not in used:
+                got[pos] = offered
+                used.add(other)
+        for *_, pos, _, content, _ in old:
+            yield doc, page, pos, got.get(pos, content), pos in got
+
+    return each
+
+
+def grafted_tables(sides: DataFrame, least_sequence: float = 0.98) -> DataFrame:
+    """(doc_id, page_no, pos, content, changed) of the tables of a page (side 0 or 2) after broken ones took their best strong match
+    among the candidates (side 1 or 2)."""
+    tables = sides.where("type = 'table'").select(*KEY, "pos", "side", "content", "caption")
+    schema = T.StructType([*[sides.schema[c] for c in (*KEY, "pos")], T.StructField("content", T.StringType()), T.StructField("changed", T.BooleanType())])
+    return fold(tables, list(KEY), ["side", "pos"], schema, _graft(least_sequence))
+
+
 def graft(original: DataFrame, candidate: DataFrame, least_sequence: float = 0.98) -> DataFrame:
     """The original elements with broken tables replaced by their best strong match, each candidate used once, best scores first."""
-    broken = original.where("type = 'table'").select(*KEY, F.col("pos").alias("old"), F.col("content").alias("a"), F.col("caption").alias("ac"))
-    offered = candidate.where("type = 'table'").select(*KEY, F.col("pos").alias("new"), F.col("content").alias("b"), F.col("caption").alias("bc"))
-    pairs = broken.join(offered, list(KEY)).withColumn("m", table_metrics("a", "b", "ac", "bc")).withColumn("problem", F.lit(True))
-    pairs = pairs.where((F.col("m.eligible")) & (F.col("m.sequence") >= least_sequence)).select(*KEY, "old", "new", "a", "b", F.col("m.score").alias("score"))
-
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        rows, olds, news = [], set(), set()
-        for r in page.sort_values(["score", "old", "new"], ascending=False).itertuples():
-            bad = set(grid.assess(r.a)[3]) & {"ragged_rows", "nested_table", "empty_table"}
-            if bad and r.old not in olds and r.new not in news:
-                olds.add(r.old)
-                news.add(r.new)
-                rows.append((r.doc_id, r.page_no, r.old, r.b))
-        return pd.DataFrame(rows, columns=[*KEY, "pos", "__new"])
-
-    schema = T.StructType([*[original.schema[c] for c in (*KEY, "pos")], T.StructField("__new", T.StringType())])
-    chosen = pairs.groupBy(*KEY).applyInPandas(greedy, schema)
+    side = lambda df, n: df.select(*KEY, "pos", "type", F.lit(n).alias("side"), "content", "caption")
+    chosen = grafted_tables(side(original, 0).unionByName(side(candidate, 1)), least_sequence).where("changed").select(*KEY, "pos", F.col("content").alias("__new"))
     return original.join(chosen, [*KEY, "pos"], "left").withColumn("content", F.coalesce("__new", "content")).select(*original.columns)
 
 
+def _one_page(least: float) -> Callable[[list[tuple]], Iterator[tuple]]:
+    def each(rows: list[tuple]) -> Iterator[tuple]:
+        doc, sizes, wanted, pages = rows[0][0], Counter(), defaultdict(list), defaultdict(set)
+        if doc is None:
+            return
+        for _, table, page, keys in rows:
+            if table is not None:
+                sizes[table] += len(keys)
+                wanted[table].append(keys)
+            if page is not None:
+                for key in keys:
+                    pages[key].add(page)
+        for table, lists in wanted.items():
+            met: Counter = Counter()
+            for keys in lists:
+                for key in keys:
+                    if key in pages:
+                        met.update(pages[key])
+            most = max(met.values(), default=0)
+            found = [page for page, n in met.items() if n == most]
+            if len(found) == 1 and most / sizes[table] >= least:
+                yield doc, table, found[0], most / sizes[table]
+
+    return each
+
+
+def page_of_tables(rows: DataFrame, least: float = 0.6) -> DataFrame:
+    """unique_page of rows (doc_id, table_id, page_no, keys): keys of a table, of a page or, where both are there, of both."""
+    schema = T.StructType([*[rows.schema[c] for c in ("doc_id", "table_id", "page_no")], T.StructField("share", T.DoubleType())])
+    return fold(rows.select("doc_id", "table_id", "page_no", "keys"), ["doc_id"], [], schema, _one_page(least))
+
+
 def unique_page(wanted: DataFrame, pages: DataFrame, least: float = 0.6) -> DataFrame:
-    """(table_id, page_no, share) of the one page that holds most of a table's cells; none on a tie.
+    """(doc_id, table_id, page_no, share) of the one page that holds most of a table's cells; none on a tie.
 
-    wanted has (doc_id, table_id, key), pages (doc_id, page_no, key), a row for each distinct cell.
+    wanted has (doc_id, table_id, key), pages (doc_id, page_no, key), a row for each distinct cell. A document's rows meet in
+    one task, where only tables and pages with a common cell do.
     """
-    size = wanted.groupBy("doc_id", "table_id").agg(F.count("*").alias("n"))
-    met = wanted.join(pages, ["doc_id", "key"]).groupBy("doc_id", "table_id", "page_no").agg(F.count("*").alias("shared")).join(size, ["doc_id", "table_id"])
-    met = met.withColumn("share", F.col("shared") / F.col("n"))
-    best = met.groupBy("doc_id", "table_id").agg(F.max("share").alias("best"))
-    top = met.join(best, ["doc_id", "table_id"]).where((F.col("share") == F.col("best")) & (F.col("best") >= least))
-    return top.groupBy("doc_id", "table_id").agg(F.count("*").alias("n"), F.min("page_no").alias("page_no"), F.max("share").alias("share")).where("n = 1").select("doc_id", "table_id", "page_no", "share")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    mine = wanted.where("key IS NOT NULL").select("doc_id", "table_id", none(pages, "page_no"), F.array("key").alias("keys"))
+    return page_of_tables(mine.unionByName(pages.where("key IS NOT NULL").select("doc_id", none(wanted, "table_id"), "page_no", F.array("key").alias("keys"))), least)
 
 
 def orphan_headings(elements: DataFrame) -> DataFrame:
