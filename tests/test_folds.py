@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from pagewright.functions import grid
-from pagewright.operators import folds, layout, review
+from pagewright.operators import folds, layout, native, review
 from pagewright.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -73,3 +73,9 @@ def test_graft_matches_equal_long_tables_at_once():
     began = time.time()
     got = list(layout._graft(0.98)([("d", 1, 0, 0, broken, ""), ("d", 1, 0, 1, whole, "")]))
     assert got == [("d", 1, 0, whole, True)] and time.time() - began < 20
+
+
+def test_align_takes_long_tables():
+    mine, theirs = [str(i) for i in range(14400)], [str(i - 5000) for i in range(72000)]
+    began = time.time()
+    assert native.align(mine, theirs) == [(i, i + 5000) for i in range(14400)] and time.time() - began < 20
