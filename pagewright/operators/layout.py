@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,26 +19,44 @@ KEY = ("doc_id", "page_no")
 BULLETS = "•◦▪■□※"
 
 
-def reassigned_only(original: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(doc_id, page_no, ok): whether the candidate page has the same elements in the same places, with only prose moved among texts.
-
-    Characters, words and lines of the texts are compared as multisets, all in one aggregation per page.
-    """
-    sides = original.withColumn("side", F.lit(1)).unionByName(candidate.withColumn("side", F.lit(-1)))
-    text = F.col("type") == "text"
-    content = F.coalesce("content", F.lit(""))
-    place = F.struct("pos", "type", F.when(~text, content).alias("fixed"), F.coalesce("caption", F.lit("")).alias("caption"))
+def _items(content: Column) -> Column:
+    """Characters, words and lines of a text, told apart by their first letter."""
     low = F.lower(content)
     lines = F.transform(F.split(low, f"[\\r\\n]+|(?=[{BULLETS}])"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, f"^[{BULLETS}]\\s*", ""), r"(?U)\s+", " ")))
-    items = F.concat(
+    return F.concat(
         F.transform(F.split(F.regexp_replace(low, r"(?U)\s", ""), ""), lambda x: F.concat(F.lit("c"), x)),
         F.transform(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda x: F.concat(F.lit("w"), x)),
         F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.concat(F.lit("l"), x)),
     )
-    counts = sides.where(text).select(*KEY, "side", F.explode(items).alias("item")).groupBy(*KEY, "item").agg(F.sum("side").alias("d")).groupBy(*KEY).agg(F.max(F.abs("d")).alias("off"))
-    frame = sides.groupBy(*KEY, place.alias("p")).agg(F.sum("side").alias("d"), F.collect_set(F.when(text, F.struct("side", content.alias("c")))).alias("said"))
-    frame = frame.groupBy(*KEY).agg(F.max(F.abs("d")).alias("frame_off"), F.bool_or(F.size(F.array_distinct(F.transform("said", lambda x: x["c"]))) > 1).alias("changed"))
-    return frame.join(counts, list(KEY), "left").select(*KEY, ((F.col("frame_off") == 0) & F.col("changed") & (F.coalesce("off", F.lit(0)) == 0)).alias("ok"))
+
+
+def reassigned_sides(sides: DataFrame) -> DataFrame:
+    """reassigned_only of rows (doc_id, page_no, side, pos, type, content, caption), side 1 of the original and -1 of the candidate."""
+    text = F.col("type") == "text"
+    content = F.coalesce("content", F.lit(""))
+    place = F.struct("pos", "type", F.when(~text, content).alias("fixed"), F.coalesce("caption", F.lit("")).alias("caption"))
+    of = lambda side, what: F.sort_array(F.collect_list(F.when(side, what)))
+    old, new = F.col("side") == 1, F.col("side") == -1
+    pages = sides.groupBy(*KEY).agg(
+        of(old, place).alias("frame"),
+        of(new, place).alias("new_frame"),
+        of(old & text, content).alias("texts"),
+        of(new & text, content).alias("new_texts"),
+        (F.size(F.collect_set(F.when(text, F.struct(place.alias("p"), content.alias("c"))))) > F.size(F.collect_set(F.when(text, place)))).alias("changed"),
+    )
+    # Texts are taken apart only where they are not the same ones.
+    apart = lambda c: F.sort_array(F.flatten(F.transform(c, _items)))
+    kept = F.when(F.col("texts") == F.col("new_texts"), F.lit(True)).otherwise(apart("texts") == apart("new_texts"))
+    return pages.select(*KEY, ((F.col("frame") == F.col("new_frame")) & F.col("changed") & kept).alias("ok"))
+
+
+def reassigned_only(original: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(doc_id, page_no, ok): whether the candidate page has the same elements in the same places, with only prose moved among texts.
+
+    Characters, words and lines of the texts are compared as multisets, all in one aggregation per page.
+    """
+    side = lambda df, n: df.select(*KEY, F.lit(n).alias("side"), "pos", "type", "content", "caption")
+    return reassigned_sides(side(original, 1).unionByName(side(candidate, -1)))
 
 
 def overlap(a: str, b: str) -> int:
