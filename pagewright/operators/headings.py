@@ -48,57 +48,67 @@ def drop_furniture(elements: DataFrame) -> DataFrame:
     return e.where(~F.coalesce(running, F.lit(False)) | (F.col("__nth") == 1)).select(*elements.columns)
 
 
-def _in_order(heads: DataFrame, *order: str) -> DataFrame:
-    """A document's headings in one partition, in order."""
-    return heads.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+def _in_order(elements: DataFrame) -> DataFrame:
+    """A document's elements in one partition, in order; a window over documents before or after needs no other shuffle."""
+    return elements.repartition("doc_id").sortWithinPartitions("doc_id", *_ORDER)
 
 
 def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, page_no, pos, level, title, turn, marked) that continue an open heading."""
+    """Without rows whose heading (__level not null, __plain, __turn, __marked) continues an open one; the rest pass as they are."""
     last, titles = object(), []
     for batch in batches:
-        gone = []
-        for doc, level, title, turn, marked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "level", "title", "turn", "marked"))):
+        keep = []
+        for doc, level, title, turn, marked in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "__level", "__plain", "__turn", "__marked"))):
             if doc != last:
                 last, titles = doc, []
-            again = marked or (turn and title != "" and any(t == title for _, t in titles))
-            gone.append(again)
-            if not again:
+            again = level is not None and (marked or (turn and title != "" and any(t == title for _, t in titles)))
+            keep.append(not again)
+            if level is not None and not again:
                 titles = [(n, t) for n, t in titles if n < level]
                 titles.append((level, title))
-        yield batch.filter(pa.array(gone, pa.bool_())).select(["doc_id", "page_no", "pos"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select([c for c in batch.schema.names if c not in _MARKS])
+
+
+_MARKS = ("__level", "__plain", "__turn", "__marked")
 
 
 def merge_continued(elements: DataFrame) -> DataFrame:
     """Without headings marked as continued, or that repeat an open heading's title just after a page break.
 
-    The open titles are a stack by the model's own levels.
+    The open titles are a stack by the model's own levels. All rows pass the stack, so they are not made twice for a join.
     """
     page_before = F.lag("page_no").over(_doc())
-    marked = elements.withColumn("__turn", F.coalesce(page_before != F.col("page_no"), F.lit(False)))
-    heads = marked.where(is_heading(F.col("type"))).select(
-        "doc_id", *_ORDER, F.substring("type", 9, 1).cast("int").alias("level"), num.plain_title(F.col("content")).alias("title"), F.col("__turn").alias("turn"), F.coalesce("content", F.lit("")).rlike(CONTINUED).alias("marked")
+    head = is_heading(F.col("type"))
+    e = elements.withColumns(
+        {
+            "__level": F.when(head, F.substring("type", 9, 1).cast("int")),
+            "__plain": F.when(head, num.plain_title(F.col("content"))),
+            "__turn": F.coalesce(page_before != F.col("page_no"), F.lit(False)),
+            "__marked": head & F.coalesce("content", F.lit("")).rlike(CONTINUED),
+        }
     )
-    gone = _in_order(heads, *_ORDER).mapInArrow(_gone, elements.select("doc_id", *_ORDER).schema)
-    return elements.join(gone, ["doc_id", *_ORDER], "left_anti").select(*elements.columns)
+    return _in_order(e).mapInArrow(_gone, elements.schema)
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Level and path of rows of (doc_id, section, rank, title)."""
-    last, ranks, titles = object(), [], []
+    """The rows with level and heading_path in place of __rank and __head; a body has those of the heading before it."""
+    last, ranks, titles, level, path = object(), [], [], None, None
     for batch in batches:
         levels, paths = [], []
-        for doc, rank, title in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rank", "title"))):
+        for doc, head, rank, title in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "__head", "__rank", "title"))):
             if doc != last:
-                last, ranks, titles = doc, [], []
-            ranks = [r for r in ranks if r < rank]
-            level = min(len(ranks) + 1, MAX_LEVEL)
-            ranks.append(rank)
-            titles = [(n, t) for n, t in titles if n < level]
-            titles.append((level, title))
+                last, ranks, titles, level, path = doc, [], [], None, None
+            if head:
+                ranks = [r for r in ranks if r < rank]
+                level = min(len(ranks) + 1, MAX_LEVEL)
+                ranks.append(rank)
+                titles = [(n, t) for n, t in titles if n < level]
+                titles.append((level, title))
+                path = [t for _, t in titles]
             levels.append(level)
-            paths.append([t for _, t in titles])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("section"), pa.array(levels, pa.int32()), pa.array(paths, pa.list_(pa.string()))], ["doc_id", "section", "level", "heading_path"])
+            paths.append(path)
+        kept = [i for i, c in enumerate(batch.schema.names) if c != "__rank"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(levels, pa.int32()), pa.array(paths, pa.list_(pa.string()))], [*(batch.schema.names[i] for i in kept), "level", "heading_path"])
 
 
 def normalise(elements: DataFrame) -> DataFrame:
@@ -112,8 +122,10 @@ def normalise(elements: DataFrame) -> DataFrame:
     promoted = F.when(is_heading(kind), kind).when(num.is_promotable(kind, content), F.lit("heading_1")).when(num.is_definition(content), F.lit("heading_2")).otherwise(kind)
     e = elements.withColumn("__kind", promoted)
     w = _doc()
-    before_open = F.lag("__kind").over(w).isin("text", "paragraph", *num.HEADINGS) & num.ends_open(F.lag("content").over(w))
-    e = e.withColumns({"__rank": num.rank(content, F.col("__kind")), "__open": F.coalesce(before_open, F.lit(False))})
+    # Expressions over texts only where their outcome counts: tables are most of the text.
+    ends = F.when(F.col("__kind").isin("text", "paragraph", *num.HEADINGS), num.ends_open(content)).otherwise(F.lit(False))
+    e = e.withColumns({"__ends": ends, "__rank": F.when(is_heading(F.col("__kind")), num.rank(content, F.col("__kind")))})
+    e = e.withColumn("__open", F.coalesce(F.lag("__ends").over(w), F.lit(False)))
     e = e.withColumn("__may", is_heading(F.col("__kind")) & ~num.is_clause(content))
     earlier = F.max(F.col("__may").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     e = e.withColumn("__first", F.coalesce(earlier, F.lit(0)) == 0)
@@ -122,10 +134,9 @@ def normalise(elements: DataFrame) -> DataFrame:
     rank = F.when(F.coalesce(root, F.lit(False)), F.lit(1)).when(F.col("__first") & num.marker(content).isNull() & (F.col("__rank") >= 10), F.lit(1)).otherwise(F.col("__rank"))
     e = e.withColumns({"__rank": rank, "title": F.when(F.col("__head"), num.title(content)), "section": F.sum(F.col("__head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")})
 
-    heads = e.where("__head").select("doc_id", "section", F.col("__rank").cast("int").alias("rank"), "title")
-    made = T.StructType([*heads.select("doc_id", "section").schema.fields, T.StructField("level", T.IntegerType()), T.StructField("heading_path", T.ArrayType(T.StringType()))])
-    paths = _in_order(heads, "section").mapInArrow(_levels, made)
-    joined = e.join(paths, ["doc_id", "section"], "left")
+    e = e.select(*elements.columns, "__kind", F.col("__head"), F.col("__rank").cast("int").alias("__rank"), "title", "section")
+    made = T.StructType([*[f for f in e.schema.fields if f.name != "__rank"], T.StructField("level", T.IntegerType()), T.StructField("heading_path", T.ArrayType(T.StringType()))])
+    joined = _in_order(e).mapInArrow(_levels, made)
     head_type = F.concat(F.lit("heading_"), F.col("level").cast("string"))
     body_type = F.when(is_heading(F.col("__kind")), F.lit("text")).otherwise(F.col("type"))
     return joined.select(
