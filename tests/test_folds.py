@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from pagewright.functions import grid
-from pagewright.operators import folds, layout, native, review
+from pagewright.operators import folds, layout, native, quality, review
 from pagewright.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -79,3 +79,14 @@ def test_align_takes_long_tables():
     mine, theirs = [str(i) for i in range(14400)], [str(i - 5000) for i in range(72000)]
     began = time.time()
     assert native.align(mine, theirs) == [(i, i + 5000) for i in range(14400)] and time.time() - began < 20
+
+
+def test_chunks_make_their_rows_once(spark):
+    assert exchanges(registry.QUERIES["chunk_toc"](spark, DIR)).count("lineitem.parquet") == 1
+
+
+def test_conservation_takes_apart_only_lines_that_differ(spark):
+    made = lambda *rows: spark.createDataFrame(rows, "doc_id int, content string")
+    got = quality.conserved(made((1, "same line\nOne two"), (2, "a"), (3, "")), made((1, "two\nsame line\nthree three"), (2, "a")))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (2, 0, 0)]
+    assert "line#" in exchanges(got)
