@@ -90,3 +90,7 @@ def test_conservation_takes_apart_only_lines_that_differ(spark):
     got = quality.conserved(made((1, "same line\nOne two"), (2, "a"), (3, "")), made((1, "two\nsame line\nthree three"), (2, "a")))
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (2, 0, 0)]
     assert "line#" in exchanges(got)
+
+
+def test_layout_makes_its_rows_once(spark):
+    assert exchanges(registry.reassigned(spark, DIR)).count("lineitem.parquet") == 1
